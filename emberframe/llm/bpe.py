@@ -28,7 +28,7 @@ from .common import id_text
 #: How the byte-level pre-tokenizer splits text (fixed value of the public file format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose ids a worker remembers, and the longest one it does.
-CACHE_PIECES, CACHE_CHARS = 1_000_000, 48
+CACHE_PIECES, CACHE_CHARS = 700_000, 48
 
 
 def byte_chars() -> list[str]:
@@ -72,7 +72,9 @@ class PrefixBpe:
         self.automaton.make_automaton()
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.inside = regex.compile(r"\s \s")
         self.cache: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
     def _reachable(self, token: int) -> bool:
         """Whether BPE gives the token for its own bytes."""
@@ -131,13 +133,41 @@ class PrefixBpe:
         return out
 
     def _ordinary(self, text: str, parts: list[bytes]) -> None:
+        """Pieces never go on over a space that has other than white space on one side: remember what lies between."""
+        if self.inside.search(text):
+            return self._pieces(text, parts)
+        words = text.split(" ")
+        self._pieces(words[0], parts)
+        del words[0]
+        spaced = self.spaced
+        found = list(map(spaced.get, words))
+        if None in found:
+            for at, word in enumerate(words):
+                if found[at] is None:
+                    pieces = self.split.findall(" " + word)
+                    if len(pieces) == 1:
+                        found[at] = ids = self._fresh(pieces[0])
+                    else:
+                        own: list[bytes] = []
+                        self._pieces(" " + word, own)
+                        found[at] = ids = b"".join(own)
+                    if len(word) <= CACHE_CHARS and "\n" not in word:
+                        if len(spaced) >= CACHE_PIECES:
+                            spaced.clear()
+                        spaced[word] = ids
+        parts += found
+
+    def _fresh(self, piece: str) -> bytes:
+        return b"".join([i.to_bytes(4, "little") for i in self.encode_piece(piece.encode().decode("latin-1"))])
+
+    def _pieces(self, text: str, parts: list[bytes]) -> None:
         cache = self.cache
         pieces = self.split.findall(text)
         found = list(map(cache.get, pieces))
         if None in found:
             for at, piece in enumerate(pieces):
                 if found[at] is None:
-                    found[at] = ids = b"".join([i.to_bytes(4, "little") for i in self.encode_piece(piece.encode().decode("latin-1"))])
+                    found[at] = ids = self._fresh(piece)
                     if len(piece) <= CACHE_CHARS:
                         if len(cache) >= CACHE_PIECES:
                             cache.clear()
