@@ -224,7 +224,7 @@ def _fit(rows: list[tuple[int, list[int]]], ratio: np.ndarray) -> tuple[np.ndarr
     x = ratio[feat]
     beta, bias = np.full(m, 0.3), -4.0
     m1, m2, b1, b2 = np.zeros(m), np.zeros(m), 0.0, 0.0
-    for step in range(1, 401):
+    for step in range(1, 901):
         z = np.bincount(doc, x * beta[feat], n) + bias
         err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
         g = np.bincount(feat, x * err[doc], m) / n + 1e-5 * (beta - 0.3)
@@ -279,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return model
     clean, toxic = total["clean"], total["toxic"]
     ratio = F.log((F.col("toxic") + 0.1) / toxic) - F.log((F.col("clean") + 0.1) / clean)
-    best = sums.where(f"f != '' AND toxic >= {max(2, toxic // 100)}").withColumn("ratio", ratio).where("ratio > 1.5")
+    best = sums.where(f"f != '' AND toxic >= {max(3, toxic // 60)}").withColumn("ratio", ratio).where("ratio > 2.5")
     best = best.orderBy(F.desc(F.col("ratio") * F.col("toxic")), "f").limit(FIT_FEATURES).collect()
     if not best:
         return model
