@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, sharding, toxicity
+from . import bpe, exact, ngram_join, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +29,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_sharding": op5_sharding, "op6_exact_dedup": op6_exact_dedup, "op8_bpe": op8_bpe, "op9_toxicity": op9_toxicity}
+    return {"op5_sharding": op5_sharding, "op6_exact_dedup": op6_exact_dedup, "op8_bpe": op8_bpe, "op9_toxicity": op9_toxicity, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 
 #: DuckDB SQL.
