@@ -90,3 +90,13 @@ def chunks(batches, text: str = "text", limit: int = CHUNK_BYTES):
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at), buf[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
             at = to
+
+
+#: Rows of a few longs that may be broadcast: under 100 MB as a hash table.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if it has at most so many rows (counted here); else as it is, to be joined by a shuffle."""
+    n = df.limit(rows + 1).count()
+    return F.broadcast(df) if n <= rows else df

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, ngram_join, sharding, toxicity
+from . import bpe, decontam, exact, licences, ngram_join, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -34,11 +42,17 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_sharding": op5_sharding, "op6_exact_dedup": op6_exact_dedup, "op8_bpe": op8_bpe, "op9_toxicity": op9_toxicity, "op10_ngram_jaccard": op10_ngram_jaccard}
+    return {
+        f.__name__: f
+        for f in (
+            op3_decontamination, op5_sharding, op6_exact_dedup, op7_licences, op8_bpe, op9_toxicity, op10_ngram_jaccard,
+        )
+    }
 
 
 #: DuckDB SQL.
 SQL: dict[str, str] = {
+    "op3_decontamination": decontam.SQL,
     "op6_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
