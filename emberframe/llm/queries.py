@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, exact, licences, ngram_join, sharding, toxicity
+from . import bpe, decontam, exact, licences, ngram_join, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op3_decontamination, op5_sharding, op6_exact_dedup, op7_licences, op8_bpe, op9_toxicity, op10_ngram_jaccard,
+            op2_quality, op3_decontamination, op5_sharding, op6_exact_dedup, op7_licences, op8_bpe, op9_toxicity, op10_ngram_jaccard,
         )
     }
 
