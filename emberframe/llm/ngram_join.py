@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, chunks, free_shuffles, id_text
+from .common import Written, bounded, chunks, free_shuffles, id_text
 from .components import connected_components
 from .kernels import U, mix, shingle_sets
 
@@ -117,7 +117,7 @@ def _sets(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             raw = h.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "set"])
 
-    some = texts.join(nodes, texts.id == nodes.node, "left_semi")
+    some = texts.join(bounded(nodes), texts.id == nodes.node, "left_semi")
     return some.mapInArrow(run, "id long, set binary")
 
 
