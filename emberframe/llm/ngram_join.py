@@ -127,8 +127,9 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame
     def run(batches):
         for batch in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+            xs, ys = batch.column("x"), batch.column("y")
+            for i in range(batch.num_rows):
+                x, y = np.frombuffer(xs[i].as_buffer(), U), np.frombuffer(ys[i].as_buffer(), U)
                 need = threshold.overlap(len(x) + len(y))
                 if min(len(x), len(y)) < need:
                     continue
@@ -160,21 +161,26 @@ def components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str =
     spark = docs.sparkSession
     limit = Threshold(percent)
     texts = id_text(docs, id_col, text_col)
-    signed = Written(_signatures(texts, size, limit), "signatures").df
+    signatures = Written(_signatures(texts, size, limit), "signatures")
+    signed = Written(signatures.df.drop("prefix"), "heads").df
     free_shuffles(spark)
 
     part = signed.where("n > 0 AND id IS NOT NULL")
     classes = part.groupBy("f1", "f2", "n").agg(F.min("id").alias("node"))
     member = Written(part.select("id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("id", "node"), "classes").df
     nodes = member.where("id = node").select("node").distinct()
-    postings = part.join(nodes, part.id == nodes.node, "left_semi").select("id", "n", F.posexplode("prefix").alias("pos", "tok"))
-    postings = postings.select("tok", F.col("id").alias("node"), F.col("n").cast("int").alias("n"), "pos")
-
-    #: Lists of one document are dropped; the leader is the one with the fewest rarer shingles.
-    lists = postings.groupBy("tok").agg(F.min(F.struct("pos", "node", "n")).alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    lists = lists.select(F.col("tok").alias("ltok"), "top")
-    listed = Written(postings.join(lists, F.col("tok") == F.col("ltok")).select("tok", "node", "n", "pos", "top"), "postings").df
+    postings = signatures.df.where("n > 0").join(nodes, F.col("id") == F.col("node"), "left_semi")
+    postings = postings.select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "tok"))
+    #: Place and size share a number, places first: rows are as narrow as they can be while they are shuffled.
+    postings = postings.select("tok", F.col("id").alias("node"), F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n")).alias("at"))
+    lists = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("tok").alias("ltok"))
+    listed = Written(postings.join(lists, F.col("tok") == F.col("ltok"), "left_semi"), "postings").df
+    signatures.drop()
     free_shuffles(spark)
+    listed = listed.select("tok", "node", F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("n"), F.shiftright("at", 32).cast("int").alias("pos"))
+    #: The leader of a list is the document with the fewest rarer shingles.
+    leaders = listed.groupBy("tok").agg(F.min(F.struct("pos", "node", "n")).alias("top")).withColumnRenamed("tok", "ltok")
+    led = listed.join(leaders, F.col("tok") == F.col("ltok")).select("tok", "node", "n", "pos", "top")
 
     def near(n1, p1, n2, p2) -> Column:
         """Length and positional filters."""
@@ -185,7 +191,7 @@ def components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str =
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     c = F.col
-    star = listed.where((c("node") != c("top.node")) & near(c("n"), c("pos"), c("top.n"), c("top.pos")))
+    star = led.where((c("node") != c("top.node")) & near(c("n"), c("pos"), c("top.n"), c("top.pos")))
     star = Written(star.select(*ordered(c("node"), c("top.node"))).distinct(), "star").df
     involved = star.select(c("a").alias("node")).union(star.select(c("b").alias("node"))).distinct()
     sets = Written(_sets(texts, involved, size), "sets").df
