@@ -38,7 +38,7 @@ from .kernels import U, mix
 
 LENGTH, GRAM = 100, 16
 #: Classes of one GRAM string that a range takes, and rows that a range should have.
-HOT, RANGE_ROWS = 500, 8_000
+HOT, RANGE_ROWS = 20_000, 8_000
 _WORD = 8
 
 
@@ -223,25 +223,34 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, lo, hi): spans of bytes that repeat an earlier place; they may overlap."""
+    """(key, spans): for each document spans (lo, hi) of bytes that repeat an earlier place; they may overlap."""
     spark, c = keyed.sparkSession, F.col
+
+    def by_key(spans: DataFrame) -> DataFrame:
+        return spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+
     anchors = _anchors(keyed, length)
     twice = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(c("gram").alias("g"))
-    shared = Written(anchors.join(twice, c("gram") == c("g"), "left_semi"), "anchors").df
+    anchor_table = Written(anchors.join(twice, c("gram") == c("g"), "left_semi"), "anchors")
+    shared = anchor_table.df
     free_shuffles(spark)
 
     first = shared.groupBy("gram", "context").agg(F.min(F.struct("key", "place")).alias("first"), F.count(F.lit(1)).alias("c"))
-    classes = Written(first, "contexts").df
+    class_table = Written(first, "contexts")
+    classes = class_table.df
     free_shuffles(spark)
     more = classes.where("c > 1").select(c("gram").alias("g"), c("context").alias("x"), "first")
     later = shared.join(more, (c("gram") == c("g")) & (c("context") == c("x"))).where((c("key") != c("first.key")) | (c("place") != c("first.place")))
     anchor, left, right = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255)), c("place").bitwiseAND(F.lit(255))
-    copies = later.select("key", (anchor - left).alias("lo"), (anchor - right + length).alias("hi"))
+    copies = Written(by_key(later.select("key", (anchor - left).alias("lo"), (anchor - right + length).alias("hi"))), "copies").df
+    anchor_table.drop()
+    free_shuffles(spark)
 
     #: First anchors of GRAM strings with several classes, with the text of their runs.
     many = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(c("gram").alias("g"), (c("n") > HOT).alias("hot"))
     open_ = classes.join(many, c("gram") == c("g")).select(c("first.key").alias("okey"), F.struct(c("first.place").alias("place"), "hot").alias("at"))
     open_ = Written(open_.groupBy("okey").agg(F.collect_list("at").alias("at")), "open").df
+    class_table.drop()
     free_shuffles(spark)
 
     def cut(batches):
@@ -264,10 +273,14 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["key", "anchor", "least", "before", "after", "hot"])
 
     held = keyed.select("key", "text").join(bounded(open_, 20_000), c("key") == c("okey")).select("key", "text", "at")
-    segments = Written(held.mapInArrow(cut, "key long, anchor long, least long, before binary, after binary, hot boolean"), "segments").df
+    segment_table = Written(held.mapInArrow(cut, "key long, anchor long, least long, before binary, after binary, hot boolean"), "segments")
+    segments = segment_table.df
     free_shuffles(spark)
     near = _by_suffix_array(segments.where("NOT hot"), length).unionByName(_by_windows(segments.where("hot"), length))
-    return copies.unionByName(near)
+    near = Written(by_key(near), "windows").df
+    segment_table.drop()
+    free_shuffles(spark)
+    return copies.unionByName(near).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,9 +291,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     texts' digests, those without an id first.
     """
     keyed = _keyed(docs, id_col, text_col)
-    spans = Written(repeated_spans(keyed, length).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans").df
-    free_shuffles(docs.sparkSession)
-    both = keyed.join(spans.withColumnRenamed("key", "skey"), F.col("key") == F.col("skey"), "left").select("id", "text", "spans")
+    spans = repeated_spans(keyed, length).withColumnRenamed("key", "skey")
+    both = keyed.join(spans, F.col("key") == F.col("skey"), "left").select("id", "text", "spans")
 
     def run(batches):
         for batch in batches:
