@@ -27,8 +27,8 @@ from .common import id_text
 
 #: How the byte-level pre-tokenizer splits text (fixed value of the public file format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces whose ids a worker remembers, and the longest one it does.
-CACHE_PIECES, CACHE_CHARS = 700_000, 48
+#: Pieces whose ids a worker remembers, the longest one it does, and pairs whose compatibility it remembers.
+CACHE_PIECES, CACHE_CHARS, CACHE_PAIRS = 250_000, 48, 400_000
 
 
 def byte_chars() -> list[str]:
@@ -121,7 +121,7 @@ class PrefixBpe:
             ok = may.get(key)
             if ok is None:
                 ok = may[key] = self._compatible(prev, token)
-                if len(may) > 2_000_000:
+                if len(may) > CACHE_PAIRS:
                     may.clear()
             if ok:
                 last[at], done = token, True

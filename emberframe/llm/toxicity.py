@@ -31,7 +31,7 @@ FIT_ROWS, FIT_FEATURES = 20_000, 4_096
 #: Lengths of the word beginnings that count as features, besides whole words.
 PREFIXES = range(4, 9)
 #: Words that a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 
 #: Letters that a seen character may stand for (fixed values).
 LOOKALIKES = {
@@ -309,8 +309,9 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         reader = Reader(m.letters, m.weights)
         for batch in batches:
             out = []
-            for text in batch.column("text"):
-                z = m.bias + sum(m.weights[f] for f in sorted(reader.of_text(text.as_py())))
+            texts = batch.column("row").field(text_col) if carry else batch.column("text")
+            for text in texts:
+                z = m.bias + sum(m.weights[f] for f in sorted(reader.of_text(str(text.as_py() or ""))))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             columns = [batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.float64())], names=[*kept, "score"])
@@ -318,7 +319,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     base = id_text(docs, id_col, text_col)
     kept = ["id"]
     if carry:
-        base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+        base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"))
         kept = ["row", "id"]
     schema = ", ".join([*(f"{c} {base.schema[c].dataType.simpleString()}" for c in kept), "score double"])
     out = base.mapInArrow(run, schema)
