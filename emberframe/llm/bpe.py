@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import claim, id_text
 
 #: How the byte-level pre-tokenizer splits text (fixed value of the public file format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -99,6 +99,11 @@ class PrefixBpe:
             else:
                 limit, right = min(limit, rr + 1), rh[0]
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.spaced.clear()
+        self.may_follow.clear()
+
     def encode_piece(self, piece: str) -> list[int]:
         """piece: bytes as latin-1 characters."""
         n = len(piece)
@@ -204,6 +209,13 @@ def load(path: str) -> PrefixBpe:
         return _from_spec(f.read())
 
 
+def _claimed(path: str) -> PrefixBpe:
+    """The vocabulary, its memory given back once the worker turns to another operator."""
+    bpe = load(path)
+    claim(bpe.forget)
+    return bpe
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -220,7 +232,7 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_
     path = vocabulary or default_vocabulary()
 
     def run(batches):
-        bpe = load(path)
+        bpe = _claimed(path)
         for batch in batches:
             ids = [bpe.encode(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string())], names=["doc_id", "ids", "decoded"])
@@ -233,7 +245,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
     path = vocabulary or default_vocabulary()
 
     def run(batches):
-        bpe = load(path)
+        bpe = _claimed(path)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
             for text in batch.column("text"):

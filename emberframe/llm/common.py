@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -52,6 +54,20 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+_forget = None
+
+
+def claim(forget=None) -> None:
+    """Called as a task starts: what another operator's tasks left in this worker's memory goes."""
+    global _forget
+    if _forget is not None and _forget != forget:
+        _forget()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+    _forget = forget
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) under names of our own, so that other columns cannot clash; null text is empty."""
     return df.select(
@@ -80,6 +96,7 @@ def chunks(batches, text: str = "text", limit: int = CHUNK_BYTES):
 
     Yields (record batch, bytes, row offsets).
     """
+    claim()
     for batch in batches:
         if batch.num_rows == 0:
             continue

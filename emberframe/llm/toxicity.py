@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, id_text
+from .common import chunks, claim, id_text
 
 #: Labelled rows that the classifier is fitted on at most (those of the smallest hash), and features kept.
 FIT_ROWS, FIT_FEATURES = 20_000, 4_096
@@ -255,6 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     letters = spark.sparkContext.broadcast(model.letters)
 
     def count(batches):
+        claim()
         reader = Reader(letters.value, None)
         seen: dict[str, list[int]] = {}
         docs_of = [0, 0]
@@ -305,6 +306,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        claim()
         m = shared.value
         reader = Reader(m.letters, m.weights)
         for batch in batches:
