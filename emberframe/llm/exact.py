@@ -53,6 +53,8 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     open_ = (F.col("n") > 1) & (F.col("bytes") > FIRST_DIGIT)
     first = Written(
         joined.select(
+            #: Written with its row: how files are split when they are read depends on the cores there are then.
+            F.monotonically_increasing_id().alias("uid"),
             "row", "id", "bytes", "n",
             F.sha2(body, 256).alias("sha"),
             F.when(F.col("n") > 1, F.col("digit")).alias("head"),
@@ -61,9 +63,6 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         "radix-head",
     ).df
     free_shuffles(spark)
-    #: A row's number is stable: it is read from files that no longer change.
-    first = first.withColumn("uid", F.monotonically_increasing_id())
-
     alone = first.where("n = 1").select("uid", F.struct("id", "uid").alias("keep"), F.lit(1).cast("long").alias("size"))
     shared = first.where("n > 1")
     top = F.max(F.struct("id", "uid"))

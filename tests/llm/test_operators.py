@@ -41,6 +41,19 @@ def test_exact(spark, texts):
     assert exact.exact_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_exact_under_other_splits(spark):
+    """What is lazy may be read by other numbers of tasks than what was written before."""
+    rows = ["x" * 200 + str(i % 7) for i in range(60)]
+    out = exact.exact_dedup(docs_of(spark, rows).repartition(8))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    same = {i: [j for j in range(60) if j % 7 == i % 7] for i in range(60)}
+    assert got == {i: (max(s), len(s), i == max(s)) for i, s in same.items()}
+
+
 def test_sharding(spark, texts):
     table = sharding.fill_table(["a", "b", "c"], 101)
     assert sorted(table.count(i) for i in range(3)) == [33, 34, 34]
