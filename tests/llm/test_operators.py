@@ -191,6 +191,82 @@ def test_html(spark):
     assert got == {1: (want, len(want)), 2: ("", 0), 3: ("", 0)}
 
 
+def brute_pipeline(rows, toxic, items):
+    """What stays of (doc_id, text) rows, by plain loops; `toxic` are the ids that the first stage rejects."""
+    rows = [(i, t or "") for i, t in rows if i not in toxic]
+    last = {}
+    for i, t in rows:
+        last[t] = max(last.get(t, -1), -1 if i is None else i)
+    rows = [(i, t) for i, t in rows if (-1 if i is None else i) == last[t]]
+    sets = [shingles(re.sub("[A-Z]", lambda m: m[0].lower(), t), 5) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    order = sorted((j for j in range(len(rows)) if rows[j][0] is not None and sets[j]), key=lambda j: rows[j][0])
+    place = {j: p for p, j in enumerate(order)}
+    for j in order:
+        for i in order[: place[j]]:
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)), key=lambda x: rows[x][0])
+                root[b] = a
+    rows = [row for j, row in enumerate(rows) if find(j) == j]
+
+    def words(t):
+        return re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+
+    def grams(w, k):
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    wanted = [(k, grams(w, k)) for w in map(words, items) if w for k in [min(5, len(w))]]
+    return [(i, t) for i, t in rows if not any(100 * len(g & grams(words(t), k)) >= 80 * len(g) for k, g in wanted)]
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Whole stages on real and on awkward rows: copies, near copies, benchmark passages, nulls, clashing columns."""
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    real = [(r["doc_id"], r["text"]) for r in read("documents").collect()]
+    items = [r["text"] for r in read("benchmark").collect()]
+    r = random.Random(3)
+    plain = [" ".join("".join(r.choice("klmnopqr") for _ in range(6)) for _ in range(80)) for _ in range(3)]
+    base = max(i for i, _ in real) + 1
+    first, *rest = plain[0].split()
+    extra = [plain[0], plain[0], " ".join(["changed", *rest]), plain[1] + " " + items[0].upper() + " end", None, "", " \n ", plain[1]]
+    rows = real + [(base + i, t) for i, t in enumerate(extra)] + [(None, plain[2])]
+    schema = "doc_id bigint, text string, lang string, id string, row string, n bigint, bad string"
+    docs = spark.createDataFrame([(i, t, None, "x", "y", 1, "z") for i, t in rows], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        read(name).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    scored = toxicity.score_documents(docs, read("labels")).where("predicted = 1").select("doc_id").collect()
+    toxic = {x["doc_id"] for x in scored}
+    assert toxic and not toxic & {None, *range(base, base + len(extra))}
+    want = brute_pipeline(rows, toxic, items)
+    kept = {i for i, _ in want}
+    assert {None, base + 1, base + 7} <= kept and not {base, base + 2, base + 3} & kept
+    assert len({i for i, t in rows if not t} & kept) == 1
+
+    tokenizer, expected = Tokenizer.from_file(bpe.default_vocabulary()), {}
+    for i, t in want:
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        raw = b"".join(x.to_bytes(4, "little") for x in ids)
+        expected[i] = (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x["doc_id"]: (x["n_tokens"], x["ids_sha256"], x["decoded_sha256"]) for x in out} == expected and len(out) == len(want)
+
+    stage = docs
+    for _, f in corpus_pipeline.STAGES[:-1]:  # an empty table goes through every stage
+        assert f(spark, stage.where(F.lit(False)), str(tmp_path)).columns == docs.columns
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
