@@ -153,8 +153,12 @@ class Reader:
 
     def __init__(self, letters: np.ndarray, known: dict[str, float] | None):
         self.restorer, self.known = Restorer(letters), known
+        #: Words seen before: those with features, and those without.
         self.cache: dict[str, tuple] = {}
+        self.clean: set[str] = set()
         if known is not None:
+            #: A word has a feature only if it begins like one.
+            self.heads = {f.rstrip("$")[:3] for f in known}
             self.skeletons = {skeleton(f.rstrip("$")) for f in known}
             self.sizes = sorted({len(s) for s in self.skeletons})
 
@@ -165,8 +169,7 @@ class Reader:
         return any(s[i : i + k] in self.skeletons for i in (0, 1) for k in self.sizes)
 
     def of_word(self, word: str) -> tuple:
-        parts = _LETTERS.findall(word)
-        forms = set(parts)
+        forms = {word} if word.isalpha() else set(_LETTERS.findall(word))
         if _ODD.search(word) and len(word) <= 64:
             trimmed = word.strip(SEPARATORS + "\"?)]}>#%&=")
             for w in {trimmed, trimmed.rstrip("!|$+0123456789")} - {""}:
@@ -174,24 +177,32 @@ class Reader:
                     if self._may_hide(w):
                         forms.add(self.restorer.restore(w))
         known = self.known
-        return tuple(dict.fromkeys(f for w in sorted(forms) for f in word_features(w) if known is None or f in known))
+        if known is None:
+            return tuple(dict.fromkeys(f for w in sorted(forms) for f in word_features(w)))
+        heads = self.heads
+        likely = [w for w in forms if w[:3] in heads]
+        return tuple(dict.fromkeys(f for w in sorted(likely) for f in word_features(w) if f in known)) if likely else ()
 
     def of_text(self, text: str) -> set[str]:
         text = text.lower()
         words = set(text.split())
         if _SPACED.search(text):
             words.update("".join(m[0].split()) + "​" for m in _SPACED.finditer(text))
-        cache, out = self.cache, set()
-        for word in words:
+        cache, clean, out = self.cache, self.clean, set()
+        for word in words - clean:
             found = cache.get(word)
             if found is None:
                 if word[-1] == "​":  # letters that stood apart: one word, as they are and restored
                     found = self.of_spaced(word[:-1])
                 else:
                     found = self.of_word(word)
-                    if len(cache) >= CACHE_WORDS:
+                    if len(cache) + len(clean) >= CACHE_WORDS:
                         cache.clear()
-                    cache[word] = found
+                        clean.clear()
+                    if found:
+                        cache[word] = found
+                    else:
+                        clean.add(word)
             if found:
                 out.update(found)
         return out
