@@ -8,9 +8,12 @@ path under a character trigram model, counted over all documents, is the
 restored word.  The score is a logistic model over words and word beginnings of
 the restored text.
 
-The decoder only runs for words whose skeleton (look-alikes and repeats folded
-together) begins like the skeleton of some feature: another restoration could
-not change the score.
+The decoder runs wherever a word may begin inside a token: at its first
+character and after each that is not a letter.  It is spared only where the
+skeleton (what has no letter reading left out, letters that share a look-alike
+folded together, repeats as one) does not begin like the skeleton of some
+feature.  Every path through the lattice has the skeleton of what is seen, so
+another restoration could not change the score.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from .common import chunks, claim, id_text
 FIT_ROWS, FIT_FEATURES = 20_000, 4_096
 #: Lengths of the word beginnings that count as features, besides whole words.
 PREFIXES = range(4, 9)
+#: Letters of the skeleton that are decoded at once; of longer tokens each word start gets so many, in pieces that overlap.
+PIECE = 64
 #: Words that a worker remembers.
 CACHE_WORDS = 200_000
 
@@ -42,10 +47,12 @@ SEPARATORS = ".-_*'~^·•,:;/\\ "
 #: Log probabilities of the channel: a letter as itself, by a look-alike, said again, a separator.
 AS_IS, SWAPPED, REPEATED, SEPARATED = math.log(0.9), math.log(0.05), math.log(0.2), math.log(0.2)
 
-_FOLD = str.maketrans({**{c: ("i" if to == "il" else to[0]) for c, to in LOOKALIKES.items()}, "l": "i", **dict.fromkeys(SEPARATORS)})
 _RUNS = re.compile(r"(.)\1+", re.DOTALL)
 _LETTERS = re.compile(r"[^\W\d_]+")
-_ODD = re.compile(r"[0-9@$!|+€£(<¡]|(.)\1|[^\W\d_][^\w\s][^\W\d_]", re.DOTALL)
+#: What the decoder could change: anything but a letter, or a repeat.
+_ODD = re.compile(r"[\W\d_]|(.)\1", re.DOTALL)
+#: What follows a word as often as it belongs to it.
+_TAIL = "!|$+0123456789"
 #: Single characters, white space between them.
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
@@ -64,6 +71,30 @@ def _class_table() -> np.ndarray:
 _CLASS = _class_table()
 
 
+def _classes() -> dict[str, str]:
+    """Letter -> the first letter of its class: letters that share a look-alike, directly or by others, are one."""
+    of = {c: c for to in LOOKALIKES.values() for c in to}
+    for to in LOOKALIKES.values():
+        for c in to:
+            old, new = sorted((of[c], of[to[0]]), reverse=True)
+            of = {k: new if v == old else v for k, v in of.items()}
+    return of
+
+
+class _Fold(dict):
+    """Code point -> class of its letter readings; '' without any, as the decoder then passes over it."""
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        letter = LOOKALIKES[ch][0] if ch in LOOKALIKES else ch if _LETTERS.fullmatch(ch) else ""
+        self[code] = out = _CLASS_OF.get(letter, letter)
+        return out
+
+
+_CLASS_OF = _classes()
+_FOLD = _Fold()
+
+
 def skeleton(word: str) -> str:
     return _RUNS.sub(r"\1", word.translate(_FOLD))
 
@@ -159,23 +190,68 @@ class Reader:
         if known is not None:
             #: A word has a feature only if it begins like one.
             self.heads = {f.rstrip("$")[:3] for f in known}
-            self.skeletons = {skeleton(f.rstrip("$")) for f in known}
-            self.sizes = sorted({len(s) for s in self.skeletons})
+            self.skeletons = {skeleton(f.rstrip("$")) for f in known} - {""}
+            self.whole = {skeleton(f[:-1]) for f in known if f.endswith("$")} - {""}
+            self.sizes, self.whole_sizes = (sorted({len(s) for s in x}) for x in (self.skeletons, self.whole))
+            self.lead = min([3, *self.sizes])
+            self.leads = {s[: self.lead] for s in self.skeletons}
 
     def _may_hide(self, word: str) -> bool:
-        if self.known is None:
-            return True
-        s = skeleton(word)
-        return any(s[i : i + k] in self.skeletons for i in (0, 1) for k in self.sizes)
-
-    def of_word(self, word: str) -> tuple:
-        forms = {word} if word.isalpha() else set(_LETTERS.findall(word))
-        if _ODD.search(word) and len(word) <= 64:
-            trimmed = word.strip(SEPARATORS + "\"?)]}>#%&=")
-            for w in {trimmed, trimmed.rstrip("!|$+0123456789")} - {""}:
-                if not w.isalpha() or _RUNS.search(w):
-                    if self._may_hide(w):
-                        forms.add(self.restorer.restore(w))
+        s, k = skeleton(word), self.lead
+        return any(s[i : i + k] in self.leads for i in range(len(s) - k + 1))
+
+    def hidden(self, word: str, anywhere: bool = False) -> set[str]:
+        """The most likely words behind the pieces of a token.  anywhere: any character may begin or end a word."""
+        fitting = self.known is None
+        if not fitting and not self._may_hide(word):
+            return set()
+        #: Of the characters with a reading: themselves, whether a word may begin or end there, their run of one class.
+        kept, begins, ends, run = [], [], [], []
+        classes, first = [], []  # of each run: its class, where it starts in `kept`
+        after = True
+        for ch in word:
+            fold = _FOLD[ord(ch)]
+            letter = bool(fold) and ch not in LOOKALIKES
+            if ends and not letter:
+                ends[-1] = True
+            if fold:
+                if not classes or classes[-1] != fold:
+                    classes.append(fold)
+                    first.append(len(kept))
+                kept.append(ch)
+                begins.append(after or anywhere)
+                ends.append(anywhere)
+                run.append(len(classes) - 1)
+            after = not letter
+        if not kept:
+            return set()
+        ends[-1] = True
+        seen, s = "".join(kept), "".join(classes)
+        first.append(len(seen))
+        #: A word of a feature may be longer than PIECE.
+        most = PIECE if fitting else max(PIECE, self.sizes[-1] + 1)
+        pieces = set()
+        for i, begin in enumerate(begins):
+            if not begin:
+                continue
+            q = run[i]
+            piece = seen[i : first[min(q + most, len(s))]]
+            if fitting:
+                if not anywhere or not i or q % (PIECE // 2) == 0 and first[q] == i:
+                    pieces |= {piece, piece.rstrip(_TAIL)}
+            elif any(s[q : q + k] in self.skeletons for k in self.sizes):
+                pieces |= {piece, piece.rstrip(_TAIL)}
+                for k in self.whole_sizes:
+                    if q + k <= len(s) and s[q : q + k] in self.whole:
+                        stops = [j for j in range(max(i, first[q + k - 1]), first[q + k]) if ends[j]]
+                        pieces |= {seen[i : j + 1] for j in (*stops[:1], *stops[-1:])}
+        pieces.discard("")
+        return {self.restorer.restore(p) if _ODD.search(p) else p for p in pieces}
+
+    def of_word(self, word: str, anywhere: bool = False) -> tuple:
+        forms = set() if anywhere else {word} if word.isalpha() else set(_LETTERS.findall(word))
+        if anywhere or _ODD.search(word):
+            forms |= self.hidden(word, anywhere)
         known = self.known
         if known is None:
             return tuple(dict.fromkeys(f for w in sorted(forms) for f in word_features(w)))
@@ -186,45 +262,24 @@ class Reader:
     def of_text(self, text: str) -> set[str]:
         text = text.lower()
         words = set(text.split())
-        if _SPACED.search(text):
-            words.update("".join(m[0].split()) + "​" for m in _SPACED.finditer(text))
         cache, clean, out = self.cache, self.clean, set()
+        for spaced in {"".join(m[0].split()) for m in _SPACED.finditer(text)}:  # letters that stood apart may hold several words
+            out.update(self.of_word(spaced, anywhere=True))
         for word in words - clean:
             found = cache.get(word)
             if found is None:
-                if word[-1] == "​":  # letters that stood apart: one word, as they are and restored
-                    found = self.of_spaced(word[:-1])
+                found = self.of_word(word)
+                if len(cache) + len(clean) >= CACHE_WORDS:
+                    cache.clear()
+                    clean.clear()
+                if found:
+                    cache[word] = found
                 else:
-                    found = self.of_word(word)
-                    if len(cache) + len(clean) >= CACHE_WORDS:
-                        cache.clear()
-                        clean.clear()
-                    if found:
-                        cache[word] = found
-                    else:
-                        clean.add(word)
+                    clean.add(word)
             if found:
                 out.update(found)
         return out
 
-    def of_spaced(self, letters: str) -> tuple:
-        """A run of single characters may hold several words: any place may begin one."""
-        out: dict[str, None] = {}
-        if self.known is None:
-            return tuple(word_features(self.restorer.restore(letters))) if len(letters) <= 64 else ()
-        whole = skeleton(letters)
-        if not any(s in whole for s in self.skeletons):
-            return ()
-        for at in range(len(letters)):
-            piece = letters[at : at + 24]
-            if self._may_hide(piece):
-                out.update(dict.fromkeys(self.of_word(piece)))
-                for end in range(4, min(12, len(piece)) + 1):
-                    w = self.restorer.restore(piece[:end])
-                    if w + "$" in self.known:
-                        out.update(dict.fromkeys(f for f in word_features(w) if f in self.known))
-        return tuple(out)
-
 
 def _fit(rows: list[tuple[int, list[int]]], ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression over present features, each scaled by its log ratio; Newton-like steps."""

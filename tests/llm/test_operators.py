@@ -174,6 +174,25 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs_of(spark, rows), labels.where("false")).where("predicted = 1").count() == 0
 
 
+def test_toxicity_of_hidden_words():
+    words = ("idiot", "moron", "bitch", "loser")
+    counts = toxicity.np.zeros(toxicity.CLASSES**3, toxicity.np.int64)
+    for w in (*words, "water", "so", "you", "hey"):
+        c = [0, 0, *(ord(x) - 96 for x in w), 0, 0]
+        for x in zip(c, c[1:], c[2:], strict=False):
+            counts[(x[0] << 12) | (x[1] << 6) | x[2]] += 100
+    reader = toxicity.Reader(toxicity.letter_model(counts), dict.fromkeys((f for w in words for f in toxicity.word_features(w)), 1.0))
+    hidden = {
+        "idiot": ["id\u200biot", "idiot\u200b", "i#d#i#o#t", "i%diot", "i_d_i_o_t", "i%#diot", "you/1d10t", "so,1d10t", "hey!1d10t,you", "(1d10t)", "i d i o t", "x y i # d 1 o t",
+                  "i" * 100 + "diot", "/".join(["water"] * 40) + "/1d10t", "1d10t" + "/water" * 40],
+        "moron": ["m=o=r=o=n", "m0r0n"], "bitch": ["6itch", "6i7ch"], "loser": ["£oser", "1o$er"],
+    }
+    for word, texts in hidden.items():
+        for text in texts:
+            assert {f for f in reader.of_text(text) if f[-1] == "$"} == {word + "$"}, text
+    assert not reader.of_text("the pidiots said so, b#o#o#k and water/house xidiot\u200b")
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><div class="cookie-notice">We use cookies, accept them.</div>
 <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">About</a></li></ul></nav>
 <article><h1>The&nbsp;title &amp; more</h1><p>First   paragraph of the story, with words.</p><div class="ad">Buy now, only today.</div>
