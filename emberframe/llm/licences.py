@@ -1,11 +1,11 @@
 """Licence notices in documents, by the Dice coefficient over word bigrams.
 
 A template is a normalised licence text or notice.  Where a document may hold
-it, a window of as many bigrams as the template has is laid at every shared
-bigram; the window is trimmed to its first and last shared bigram, and the Dice
-coefficient of the two bigram sets decides.  Sizes prune: with least
-coefficient t, a span of a bigrams can only match a template of between
-a * t / (2 - t) and a * (2 - t) / t of them, so a template with fewer shared
+it, a span begins at every shared bigram and ends at the best of the shared
+bigrams after it; the Dice coefficient of the two bigram sets decides.  Sizes
+prune: with least coefficient t, a span of a bigrams can only match a template
+of between a * t / (2 - t) and a * (2 - t) / t of them, and of a span's bigrams
+at most 2 / t - 2 times the template's may be others than its own, so a template with fewer shared
 bigrams in the document than t / (2 - t) of its own is out at once, and so is
 every document that holds none of the marker words, which are chosen so that no
 template can reach that number of shared bigrams without one.
@@ -107,7 +107,7 @@ class Scanner:
                 continue
             seen.add((name, grams))
             i = len(self.templates)
-            self.templates.append((name, grams, max(1, -int(-self.least * len(grams) // 1))))
+            self.templates.append((name, grams, max(1, -int((1e-9 - self.least * len(grams)) // 1)), len(words) - 1))
             for g in grams:
                 self.of[g].append(i)
         self.markers = self._markers()
@@ -117,7 +117,7 @@ class Scanner:
         chosen: set[str] = set()
 
         def open_templates():
-            return [(g, need) for _, g, need in self.templates if sum(1 for a, b in g if a not in chosen and b not in chosen) >= need]
+            return [(g, need) for _, g, need, _ in self.templates if sum(1 for a, b in g if a not in chosen and b not in chosen) >= need]
 
         while left := open_templates():
             votes = Counter(w for g, _ in left for w in {w for pair in g for w in pair} - chosen - COMMON)
@@ -126,6 +126,33 @@ class Scanner:
             chosen.add(max(votes, key=lambda w: (votes[w], len(w), w)))
         return sorted(chosen)
 
+    def _best_end(self, t: int, pairs: list, start: int, last: int) -> tuple[float, int]:
+        """The highest coefficient of a span from `start`, and the shared bigram where it ends.
+
+        Of equal ends the first, or the last within the template's own length, so
+        that a copy whose last words repeat is whole.  Once longer than any match
+        without repeated bigrams, a span that meets its first bigram again is no
+        better than the one that begins after it.
+        """
+        _, grams, _, length = self.templates[t]
+        size, top, stop = len(grams), 0.0, start
+        reach = start + int(length / self.least + 1e-9)
+        most, shared, others = size * (2 / self.t - 2) + 1e-9, set(), set()
+        for i in range(start, last + 1):
+            pair = pairs[i]
+            if pair not in grams:
+                others.add(pair)
+                if len(others) > most:
+                    break
+                continue
+            if i >= reach and pair == pairs[start]:
+                break
+            shared.add(pair)
+            score = 2 * len(shared) / (len(shared) + len(others) + size)
+            if score > top or score == top and i < start + length:
+                top, stop = score, i
+        return top, stop
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(licence, Dice, first and last character) of the best span of each licence."""
         low = text.lower()
@@ -134,25 +161,20 @@ class Scanner:
         if len(low) != len(text):  # lower case of another length: keep offsets right
             low = text
         spans = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(low)]
+        pairs = [(a[0], b[0]) for a, b in zip(spans, spans[1:], strict=False)]
         hits = defaultdict(list)
-        for i in range(len(spans) - 1):
-            for t in self.of.get((spans[i][0], spans[i + 1][0]), ()):
+        for i, pair in enumerate(pairs):
+            for t in self.of.get(pair, ()):
                 hits[t].append(i)
         best: dict[str, tuple[float, int, int]] = {}
         for t, at in sorted(hits.items()):
-            name, grams, need = self.templates[t]
-            if len(at) < need:
+            name, grams, need, _ = self.templates[t]
+            if len(at) < need or len({pairs[i] for i in at}) < need:
                 continue
-            size, hi = len(grams), 0
-            for lo, start in enumerate(at):
-                while hi < len(at) and at[hi] < start + size:
-                    hi += 1
-                if hi - lo < need:
-                    continue
-                inside = Counter((spans[i][0], spans[i + 1][0]) for i in range(start, at[hi - 1] + 1))
-                score = 2 * sum(1 for g in inside if g in grams) / (len(inside) + size)
+            for lo in range(len(at) - need + 1):
+                score, stop = self._best_end(t, pairs, at[lo], at[-1])
                 if score >= self.t and (name not in best or score > best[name][0]):
-                    best[name] = (score, spans[start][1], spans[at[hi - 1] + 1][2])
+                    best[name] = (score, spans[at[lo]][1], spans[stop + 1][2])
         chosen: list[tuple[str, float, int, int]] = []
         for name, (score, a, b) in sorted(best.items(), key=lambda x: (-x[1][0], x[1][1] - x[1][2], x[0])):
             if all(b <= c or d <= a for _, _, c, d in chosen):  # of licences that claim the same words, the closest

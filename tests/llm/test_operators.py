@@ -143,6 +143,27 @@ def test_licences(spark):
     assert got == [(0, "MIT", True), (4, "MIT", False)]
 
 
+def test_licences_with_inserted_words():
+    mit = " ".join(licences.TEXTS["MIT"].split())
+    words = mit.split()
+    commented = " ".join("REM " * (i % 10 == 0) + w for i, w in enumerate(words))
+    spread = " ".join([*words[:80], *(f"extra{i}" for i in range(30)), *words[80:]])
+    scanner = licences.Scanner([("MIT", mit)])
+    for text, least in ((mit, 1.0), (commented, 0.85), (spread, 0.9)):
+        [(name, dice, a, b)] = scanner.scan(f"Some words before. {text} And after.")
+        assert name == "MIT" and dice >= least and a == len("Some words before. ") + 4 * text.startswith("REM")
+        assert text != mit or f"Some words before. {text} And after."[a:b] == mit.rstrip(".")
+    r = random.Random(4)
+    for _ in range(60):  # against every span
+        template = [r.choice("abcdefgh") for _ in range(r.randint(4, 12))]
+        text = [r.choice("xyz") for _ in range(3)] + [w for x in template for w in ([x] if r.random() < 0.8 else [x, r.choice("axyz")])] + [r.choice("abx") for _ in range(6)]
+        grams = set(zip(template, template[1:], strict=False))
+        pairs = list(zip(text, text[1:], strict=False))
+        want = max(2 * len(grams & set(pairs[i:j])) / (len(grams) + len(set(pairs[i:j]))) for i in range(len(pairs)) for j in range(i + 1, len(pairs) + 1))
+        got = licences.Scanner([("T", " ".join(template))]).scan(" ".join(text))
+        assert [x[1] for x in got] == [want] * (want >= 0.8)
+
+
 def test_quality(spark):
     r = random.Random(1)
     words = ["lorem", "ipsum", "dolor", "sit", "amet", "consectetur"]
