@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,6 +54,65 @@ NAMES = {
 }
 #: How a notice goes on about the name.
 NOTICES = ["This work is licensed under the {}.", "Released under the {}.", "Licensed under the {}.", "Licensed under {}.", "This work is licensed under {}."]
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+    conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+    disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+    disclaimer in the documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT
+    HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+    MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR
+    ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+    GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+    CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
+    ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: The notice that files under a GNU licence carry: licence, how it says "free software", where versions stand, version.
+_GNU = """This {what} is free software{stop} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free
+    Software Foundation{comma} either version {version} of the License, or (at your option) any later version. This {what} is distributed in the
+    hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+    PURPOSE. See the GNU {name} for more details.{end}"""
+_HAVE = " You should have received a copy of the GNU {name} along with this {what}"
+
+
+def _gnu(name: str, version: str, what: str, old: bool) -> list[str]:
+    """The notice, without and with its last paragraph."""
+    parts = {"what": what, "stop": ";" if old else ":", "name": name, "comma": ";" if old else ",", "version": version}
+    end = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA." if old else ". If not, see <https://www.gnu.org/licenses/>."
+    return [_GNU.format(end=e, **parts) for e in ("", (_HAVE + end).format(**parts))]
+
+
+#: More texts and standard file headers; whole texts of further licences are in the folder `texts`.
+HEADERS = [
+    *(("GPL-2.0", x) for x in _gnu("General Public License", "2", "program", True)),
+    *(("GPL-3.0", x) for x in _gnu("General Public License", "3", "program", False)),
+    *(("LGPL-2.1", x) for x in _gnu("Lesser General Public License", "2.1", "library", True)),
+    *(("LGPL-3.0", x) for x in _gnu("Lesser General Public License", "3", "program", False)),
+    *(("LGPL-3.0", x) for x in _gnu("Lesser General Public License", "3", "library", False)),
+    *(("AGPL-3.0", x) for x in _gnu("Affero General Public License", "3", "program", False)),
+    ("BSD-3-Clause", _BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ")),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+        the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+        WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE
+        LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+        WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
+        THIS SOFTWARE."""),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+        damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+        applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not
+        be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in
+        the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must
+        not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""),
+    ("BSL-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+        documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to
+        prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the
+        following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the
+        following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software,
+        unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE
+        DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+        CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("EPL-2.0", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is
+        available at https://www.eclipse.org/legal/epl-2.0/"""),
+]
 #: Texts of licences and of the notices that they ask for (fixed values).
 TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -69,11 +129,7 @@ TEXTS = {
         required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
         BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
         language governing permissions and limitations under the License.""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
-        that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this
-        list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
-        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with
-        the distribution.""",
+    "BSD-2-Clause": _BSD.format(""),
     "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
         Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
         later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
@@ -92,7 +148,8 @@ TEXTS = {
 def default_templates() -> list[tuple[str, str]]:
     """(licence, text), notices made from names by rule."""
     out = [(k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES]
-    return out + list(TEXTS.items())
+    whole = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "texts").glob("*.txt"))]
+    return out + list(TEXTS.items()) + HEADERS + whole
 
 
 class Scanner:
@@ -175,6 +232,8 @@ class Scanner:
                 score, stop = self._best_end(t, pairs, at[lo], at[-1])
                 if score >= self.t and (name not in best or score > best[name][0]):
                     best[name] = (score, spans[at[lo]][1], spans[stop + 1][2])
+                if best.get(name, (0,))[0] == 1:  # no later span can be closer
+                    break
         chosen: list[tuple[str, float, int, int]] = []
         for name, (score, a, b) in sorted(best.items(), key=lambda x: (-x[1][0], x[1][1] - x[1][2], x[0])):
             if all(b <= c or d <= a for _, _, c, d in chosen):  # of licences that claim the same words, the closest

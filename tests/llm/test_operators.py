@@ -164,6 +164,17 @@ def test_licences_with_inserted_words():
         assert [x[1] for x in got] == [want] * (want >= 0.8)
 
 
+def test_licences_by_their_own_texts():
+    scanner = licences.Scanner(licences.default_templates())
+    for name, text in licences.default_templates():
+        assert name in {x[0] for x in scanner.scan(f"intro words\n{text}\nint main")}, text
+    bsd3 = next(x for name, x in licences.HEADERS if name == "BSD-3-Clause").replace("the copyright holder nor", "Example Corporation nor")
+    assert [x[0] for x in scanner.scan(bsd3)] == ["BSD-3-Clause"]
+    for name in ("GPL-2.0", "LGPL-2.1", "AGPL-3.0", "LGPL-3.0", "GPL-3.0"):
+        for text in (x for n, x in licences.HEADERS if n == name):
+            assert [x[0] for x in scanner.scan(text)] == [name]
+
+
 def test_quality(spark):
     r = random.Random(1)
     words = ["lorem", "ipsum", "dolor", "sit", "amet", "consectetur"]
