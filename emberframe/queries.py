@@ -173,6 +173,25 @@ for _kind in ("semi", "anti"):
     _add(f"join_rows_{_kind}", _rows(_kind), f"SELECT p.i AS probe_idx, NULL::BIGINT AS build_idx FROM {_P} WHERE {'NOT ' * (_kind == 'anti')}EXISTS (SELECT 1 FROM {_B} WHERE b.k = p.k)")
 
 
+def _whole_rows(kind: str) -> Query:
+    """The same over whole tables."""
+
+    def run(s, d):
+        store = Store(s)
+        store.upload("p", _t(s, d, "supplier"), "s_nationkey", order_by="s_suppkey")
+        store.upload("b", _t(s, d, "customer"), "c_nationkey", order_by="c_custkey")
+        return join_rows(store, "p", "b", kind)
+
+    return run
+
+
+_WHOLE = "(SELECT c_nationkey AS k, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) b"
+for _kind in ("inner", "left"):
+    _add(f"join_rows_whole_{_kind}", _whole_rows(_kind), f"SELECT p.i AS probe_idx, b.i AS build_idx FROM {_P} {_kind.upper()} JOIN {_WHOLE} ON p.k = b.k")
+for _kind in ("semi", "anti"):
+    _add(f"join_rows_whole_{_kind}", _whole_rows(_kind), f"SELECT p.i AS probe_idx, NULL::BIGINT AS build_idx FROM {_P} WHERE {'NOT ' * (_kind == 'anti')}EXISTS (SELECT 1 FROM {_WHOLE} WHERE b.k = p.k)")
+
+
 def _first_match(s, d):
     b = _t(s, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("idx"))
     p = _t(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderkey").alias("idx"))

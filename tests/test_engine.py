@@ -97,3 +97,17 @@ def test_flat_files(spark, tmp_path):
         read_flat(spark, str(tmp_path / "c")).collect()
     build, probe = join_fixture(spark, 10, 100)
     assert build.count() == 10 and probe.count() == 100
+
+
+def test_row_joins_over_whole_tables(spark):
+    from emberframe.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    side = lambda t, k, i: [r[0] for r in spark.read.parquet(f"{d}/{t}.parquet").orderBy(i).select(k).collect()]
+    p, b = side("supplier", "s_nationkey", "s_suppkey"), side("customer", "c_nationkey", "c_custkey")
+    inner = {(i, j) for i, x in enumerate(p) for j, y in enumerate(b) if x == y}
+    alone = {(i, None) for i, x in enumerate(p) if x not in b}
+    want = {"inner": inner, "left": inner | alone, "semi": {(i, None) for i, x in enumerate(p) if x in b}, "anti": alone}
+    for kind, rows in want.items():
+        got = [tuple(r) for r in QUERIES[f"join_rows_whole_{kind}"](spark, d).select("probe_idx", "build_idx").collect()]
+        assert len(got) == len(rows) and set(got) == rows
