@@ -205,6 +205,7 @@ _add("list_join_first_match", _first_match, "SELECT o_orderkey AS probe_idx, min
 _E = ["user_id", "event_id"]
 _add("window_unbounded", lambda s, d: (e := _t(s, d, "events")).select("event_id", over(e, "user_id", W.partitionBy("event_type")).alias("total")), "SELECT event_id, sum(user_id) OVER (PARTITION BY event_type)::BIGINT AS total FROM events")
 _add("window_running", lambda s, d: (e := _t(s, d, "events").where("user_id < 20")).select("event_id", running(e, "event_id", ["event_id"], ["event_type"]).alias("total")), "SELECT event_id, sum(event_id) OVER (PARTITION BY event_type ORDER BY event_id)::BIGINT AS total FROM events WHERE user_id < 20")
+_add("window_running_whole", lambda s, d: (e := _t(s, d, "events")).select("event_id", running(e, "event_id", ["event_id"], ["event_type"]).alias("total")), "SELECT event_id, sum(event_id) OVER (PARTITION BY event_type ORDER BY event_id)::BIGINT AS total FROM events")
 _add("window_partition_running", lambda s, d: (e := _t(s, d, "events")).select("event_id", running(e, "event_id", ["event_id"], ["user_id"]).alias("total")), "SELECT event_id, sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS total FROM events")
 _add("window_minmax", lambda s, d: (e := _t(s, d, "events")).select("event_id", running(e, "value", ["event_id"], ["user_id"], "min").alias("lo"), running(e, "value", ["event_id"], ["user_id"], "max").alias("hi")), "SELECT event_id, min(value) OVER w AS lo, max(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 _add("row_number_global", lambda s, d: row_number(_t(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey").select("o_orderkey", "row_number"), "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS row_number FROM orders")

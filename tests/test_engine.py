@@ -111,3 +111,16 @@ def test_row_joins_over_whole_tables(spark):
     for kind, rows in want.items():
         got = [tuple(r) for r in QUERIES[f"join_rows_whole_{kind}"](spark, d).select("probe_idx", "build_idx").collect()]
         assert len(got) == len(rows) and set(got) == rows
+
+
+def test_running_over_whole_events(spark):
+    from collections import Counter
+
+    from emberframe.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    want, totals = [], Counter()
+    for e, kind in sorted((r[0], r[1]) for r in spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type").collect()):
+        totals[kind] += e
+        want.append((e, totals[kind]))
+    assert sorted(tuple(r) for r in QUERIES["window_running_whole"](spark, d).collect()) == want
