@@ -63,7 +63,8 @@ KINDS = list(TOKENS)
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.IGNORECASE)
+_ANY_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_HIDDEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _BLANKS = re.compile(r"[ \t\n\r\f\v]+")
 
@@ -234,11 +235,20 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         np.log1p(own[safe]), np.log1p(ps[safe]),
     ]
     x = np.column_stack([*columns, kinds, above, one]).astype(np.float32)
-    never = np.array([t in NEVER or bool(a and ("hidden" in a or "none" in a) and _HIDDEN.search(_ATTRLESS.sub("", a))) for t, a in zip(tag, page.attrs, strict=True)])
+    never = np.array([t in NEVER or hides(a) for t, a in zip(tag, page.attrs, strict=True)])
     return x, own, never
 
 
-_ATTRLESS = re.compile(r"\b(?:class|id|href|src|alt|title)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
+def hides(attrs: str) -> bool:
+    """Whether attributes hide their element: hidden, aria-hidden="true", or a style that does."""
+    low = attrs.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    for name, *values in _ANY_ATTR.findall(low):
+        value = "".join(values)
+        if name == "hidden" or name == "aria-hidden" and value.strip() == "true" or name == "style" and _HIDDEN.search(value):
+            return True
+    return False
 
 
 def decode(page: Page, logits: np.ndarray, own: np.ndarray, never: np.ndarray) -> np.ndarray:

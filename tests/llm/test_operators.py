@@ -235,6 +235,15 @@ paragraph of it, longer than the first one was.</p></article>
 <form><input><button>Send</button></form><footer>&copy; Site, all rights.</footer><script>x()</script></body></html>"""
 
 
+def test_html_hidden_attributes():
+    for shown in ('style="overflow:hidden"', 'aria-hidden="false"', 'data-hidden="0"', 'class="hidden-xs"', ""):
+        assert not htmlmain.hides(" " + shown), shown
+        page = htmlmain.Page(f"<html><body {shown}><p>Words of a story.</p></body></html>")
+        assert not htmlmain.features(page)[2][page.tag.index("body")], shown
+    for hidden in ("hidden", 'hidden=""', 'style="color:red; display : none"', "style='visibility:hidden'", 'ARIA-HIDDEN="true"'):
+        assert htmlmain.hides(" " + hidden), hidden
+
+
 def test_html(spark):
     want = "The title & more\nFirst paragraph of the story, with words.\nSecond bold paragraph of it, longer than the first one was."
     pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "v", "")], "page_id bigint, url string, html string")
