@@ -7,31 +7,82 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..types import I64, normalised, wrapping_sum_over
+from ..types import I64, normalised, wrapping_add, wrapping_sum, wrapping_sum_over
 
 
-def row_number(df: DataFrame, key: str, position: str, by: Sequence[str] = ()) -> DataFrame:
-    """Adds row_number, from 1, ascending by key, ties by the unique `position`.
+#: Rows that splitters are taken from, for each partition.
+SPLIT_SAMPLE = 50
+
+
+def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Adds __range: rows dealt into ranges of the columns `order` by splitters from a sample.
 
-    Without `by` the numbering is global: a range-partitioned sort, the size of
-    each partition (one count a partition, collected), and numbers within them,
-    so no task sees all rows.
+    The splitters are literals: a range that is computed anew, after an executor
+    is lost, has the same rows.
     """
+    spark = df.sparkSession
+    at = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(order)])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sample = df.select(at.alias("at")).orderBy(F.xxhash64("at"), "at").limit(parts * SPLIT_SAMPLE).orderBy("at").collect()
+    marks = list(dict.fromkeys(r["at"] for r in sample[SPLIT_SAMPLE::SPLIT_SAMPLE]))
+    if not marks:
+        return df.withColumn("__range", F.lit(0))
+    # two steps over lists as long as the root of their number
+    kind = df.select(at.alias("at")).schema[0].dataType
+    step = max(1, round(len(marks) ** 0.5))
+    lists = [marks[i : i + step] for i in range(0, len(marks), step)]
+    schema = T.StructType([T.StructField("__heads", T.ArrayType(kind)), T.StructField("__marks", T.ArrayType(T.ArrayType(kind)))])
+    table = spark.createDataFrame([([x[0] for x in lists], lists)], schema)
+    ranged = df.withColumns({c: table.select(c).scalar() for c in table.columns})
+    head = F.size(F.filter("__heads", lambda x: x <= at))
+    inside = F.size(F.filter(F.element_at("__marks", F.greatest(head, F.lit(1))), lambda x: x <= at))
+    return ranged.withColumn("__range", F.when(head == 0, 0).otherwise((head - 1) * step + inside)).drop(*table.columns)
+
+
+def _before(ranged: DataFrame, total: Column, kind: str) -> DataFrame:
+    """(__range, __before): what the ranges before each one add up to, modulo 2 ** 64.  A row for each range."""
+    starts, before = [], 0
+    for r in sorted(ranged.groupBy("__range").agg(total.alias("t")).collect()):
+        starts.append((r["__range"], before))
+        before = (before + (r["t"] or 0) + 2**63) % 2**64 - 2**63
+    return F.broadcast(ranged.sparkSession.createDataFrame(starts, f"__range int, __before {kind}"))
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Adds `name`, places from 1 in the order of the columns `order`, of all rows.
+
+    A count for each range and a row_number inside it give the places, so no
+    task sees all rows.
+    """
+    ranged = _ranged(df, order)
+    inside = F.row_number().over(W.partitionBy("__range").orderBy(*order))
+    out = ranged.withColumn("__at", inside).join(_before(ranged, F.count(F.lit(1)), "bigint"), "__range")
+    return out.withColumn(name, F.col("__before") + F.col("__at")).drop("__range", "__before", "__at")
+
+
+def row_number(df: DataFrame, key: str, position: str, by: Sequence[str] = ()) -> DataFrame:
+    """Adds row_number, from 1, ascending by key, ties by the unique `position`; global without `by`."""
     if by:
         return df.withColumn("row_number", F.row_number().over(W.partitionBy(*by).orderBy(key, position)).cast("bigint"))
-    ordered = df.orderBy(key, position).withColumn("__id", F.monotonically_increasing_id())
-    ordered = ordered.withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit(2**33 - 1))})
-    ordered = ordered.persist()
-    sizes = {r["__part"]: r["count"] for r in ordered.groupBy("__part").count().collect()}  # a row for each partition
-    before, starts = 0, []
-    for part in sorted(sizes):
-        starts.append((part, before))
-        before += sizes[part]
-    if not starts:
-        return ordered.withColumn("row_number", F.col("__at") + 1).drop("__id", "__part", "__at")
-    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "__part bigint, __start bigint"))
-    return ordered.join(offsets, "__part").withColumn("row_number", F.col("__start") + F.col("__at") + 1).drop("__id", "__part", "__at", "__start")
+    return numbered(df, [key, position], "row_number")
+
+
+def over_all(df: DataFrame, value: str, name: str, what: str = "sum") -> DataFrame:
+    """Adds `name`, an aggregate over all rows: computed once and attached, so that no task sees all rows."""
+    v, kind = normalised(df, value)
+    agg = {"min": F.min, "max": F.max, "count": F.count, "sum": wrapping_sum if kind == I64 else F.sum}[what](v)
+    return df.withColumn(name, df.agg(agg).scalar())
+
+
+def running_all(df: DataFrame, value: str, order: str, name: str) -> DataFrame:
+    """Adds `name`, the running sum of whole numbers over all rows by a unique `order`: a total for each range and a running sum inside it."""
+    v, _ = normalised(df, value)
+    ranged = _ranged(df, [order])
+    out = ranged.withColumn("__own", wrapping_sum_over(v, W.partitionBy("__range").orderBy(order))).join(_before(ranged, wrapping_sum(v), "bigint"), "__range")
+    both = F.when(F.col("__own").isNull() & (F.col("__before") == 0), None).otherwise(wrapping_add(F.coalesce("__own", F.lit(0).cast("bigint")), F.col("__before")))
+    return out.withColumn(name, both).drop("__range", "__own", "__before")
 
 
 def over(df: DataFrame, value: str, window: WindowSpec, what: str = "sum") -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.decisions import Reason, choose_join
-from ..types import F64, I64, EngineError, exact_wrapping_sum, wrapping_sum
+from ..types import F64, I64, EngineError, wrapping_sum
 from .store import Store
 
 JOIN_KINDS = ("inner", "left", "semi", "anti", "right", "full")
@@ -43,7 +43,7 @@ def _unmatched(probe: DataFrame, build: DataFrame) -> DataFrame:
     return build.join(probe.select("key").distinct(), "key", "left_anti").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"))
 
 
-def join_frame(probe: DataFrame, build: DataFrame, kind: str, dtype: str | None, strategy: Reason = Reason.CATALYST, wide: bool = False) -> DataFrame:
+def join_frame(probe: DataFrame, build: DataFrame, kind: str, dtype: str | None, strategy: Reason = Reason.CATALYST) -> DataFrame:
     """One row: sum (null without a payload or matches) and matched."""
     kind = kind.lower()
     rows = multiplied(probe, build, kind, strategy)
@@ -51,7 +51,7 @@ def join_frame(probe: DataFrame, build: DataFrame, kind: str, dtype: str | None,
     if dtype is None:
         total = F.lit(None).cast("bigint")
     elif dtype == I64:
-        total = exact_wrapping_sum(v, times) if wide else wrapping_sum(v, times)
+        total = wrapping_sum(v, times)
     else:
         total = F.sum(v * times)
     out = rows.agg(total.alias("sum"), F.coalesce(F.sum("times"), F.lit(0)).cast("bigint").alias("matched"))
@@ -76,18 +76,11 @@ def _run(store: Store, kind: str, probe_key, payload, build_key, dtype, hint: st
     began = time.perf_counter()
     probe, pk, bk = _sides(store, probe_key, payload, build_key, dtype)
     strategy = choose_join(bk.rows, hint)
-    # multipliers add up to less than 2 ** 31 for certain when the largest possible number of pairs does
-    wide = dtype == I64 and pk.rows * bk.rows >= 2**31 and _pairs_bound(store, probe, build_key) >= 2**31
-    row = join_frame(probe, store.multiplicities(build_key), kind, dtype, strategy, wide).first()
+    row = join_frame(probe, store.multiplicities(build_key), kind, dtype, strategy).first()
     store.note(f"join_{kind}", strategy, began, rows_probe=pk.rows, rows_build=bk.rows, matched=row["matched"])
     return row
 
 
-def _pairs_bound(store: Store, probe: DataFrame, build_key: str) -> int:
-    top = store.multiplicities(build_key).agg(F.max("m")).first()[0] or 1
-    return max(1, top) * probe.count()
-
-
 def join_sum(store: Store, kind: str, probe_key: str | None, payload: str | None, build_key: str | None, dtype: str = I64, hint: str | None = None):
     """The payload's sum over the join; None over no rows or for a null name.  dtype F64 for doubles."""
     if payload is None:

@@ -15,10 +15,12 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.decisions import Decision, Reason
+from ..plans.decisions import Decision, Reason, choose_reduce
 from ..types import I64, EngineError, normalised, wrapping_sum
 
 DEFAULT_CAP_BYTES = 4 << 30
+#: Columns that one grouped upload may register: their names are held by the driver.
+GROUPED_NAMES = 10_000
 _DEFAULT = object()
 
 
@@ -31,10 +33,20 @@ class ResidentColumn:
     column: str
     indexed: bool = False  # the frame has idx, the place in upload order from 0
     keyed: DataFrame | None = field(default=None, repr=False)  # as a build side: each key and how often
+    base: DataFrame | None = field(default=None, repr=False)  # what is persisted, where `frame` is a part of it
+    builds: int = 0  # how often it was a build side
+
+    @property
+    def held(self) -> DataFrame:
+        return self.frame if self.base is None else self.base
 
     def select(self, alias: str, *more: str) -> DataFrame:
         return self.frame.select(F.col(self.column).alias(alias), *more)
 
+    def counts(self) -> DataFrame:
+        """key, m: each key and how often; what is kept, if it is."""
+        return self.keyed if self.keyed is not None else self.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+
 
 class Store:
     def __init__(self, spark: SparkSession, cap_bytes: int = DEFAULT_CAP_BYTES, partitions: int | None = None):
@@ -58,27 +70,23 @@ class Store:
 
     @staticmethod
     def _with_index(rows: DataFrame) -> DataFrame:
-        """idx from 0 in the order of __order; a range-partitioned sort and one count a partition."""
-        ordered = rows.orderBy("__order").withColumn("__id", F.monotonically_increasing_id()).persist()
-        part, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit(2**33 - 1))
-        ordered_parts = sorted((r["p"], r["count"]) for r in ordered.groupBy(part.alias("p")).count().collect())
-        before, starts = 0, []
-        for p, n in ordered_parts:
-            starts.append((p, before))
-            before += n
-        offsets = F.broadcast(rows.sparkSession.createDataFrame(starts, "__part bigint, __start bigint"))
-        out = ordered.withColumn("__part", part).join(offsets, "__part")
-        out = out.withColumn("idx", F.col("__start") + at).drop("__part", "__start", "__id", "__order").persist(StorageLevel.MEMORY_AND_DISK)
-        out.count()
-        ordered.unpersist()
-        return out
+        """idx from 0 in the order of __order, then of the values: rows that tie on all are alike, so idx is the same when computed anew."""
+        from ..functions.windows import numbered
+
+        order = ["__order", *(c for c in rows.columns if c != "__order")]
+        return numbered(rows, order, "idx").withColumn("idx", F.col("idx") - 1).drop("__order")
 
     def _put(self, column: ResidentColumn) -> None:
         old = self._columns.get(column.name)
         self._columns[column.name] = column
-        if old is not None and not any(c.frame is old.frame for c in self._columns.values()):
-            old.frame.unpersist()
-        if old is not None and old.keyed is not None:
+        if old is not None:
+            self._release(old)
+
+    def _release(self, old: ResidentColumn) -> None:
+        """Give back what only a replaced or dropped column holds."""
+        if not any(c.held is old.held for c in self._columns.values()):
+            old.held.unpersist()
+        if old.keyed is not None:
             old.keyed.unpersist()
 
     @staticmethod
@@ -121,12 +129,23 @@ class Store:
 
     def upload_grouped(self, df: DataFrame, name: str, value: str) -> dict[str, int]:
         """One column for each distinct name; a null name of a row with a value is an error."""
-        v, _ = normalised(df, value)
+        v, kind = normalised(df, value)
         rows = df.select(F.col(name).cast("string").alias("name"), v.alias("v")).where("v IS NOT NULL")
-        names = [r["name"] for r in rows.select("name").distinct().collect()]  # as many as columns to register
-        if None in names:
-            raise EngineError("a column needs a name")
-        return {n: self.upload(n, rows.where(F.col("name") == n), "v") for n in sorted(names)}
+        with self._lock:
+            # one frame for all names; sorted, so that a name's batches are found by their statistics
+            base = rows.sortWithinPartitions("name").persist(StorageLevel.MEMORY_AND_DISK)
+            found = base.groupBy("name").count().limit(GROUPED_NAMES + 1).collect()
+            over = sum(r["count"] for r in found) * 8 > self.cap_bytes
+            if over or len(found) > GROUPED_NAMES or any(r["name"] is None for r in found):
+                base.unpersist()
+                if over:
+                    raise EngineError(f"the upload is over the cap of {self.cap_bytes} bytes")
+                raise EngineError("a column needs a name" if len(found) <= GROUPED_NAMES else f"over {GROUPED_NAMES} names in one upload")
+            if not found:
+                base.unpersist()
+            for r in found:
+                self._put(ResidentColumn(r["name"], kind, r["count"], base.where(F.col("name") == r["name"]).select("v"), "v", base=base))
+        return {r["name"]: r["count"] for r in sorted(found)}
 
     # --- reads
 
@@ -154,9 +173,18 @@ class Store:
             return None
         began = time.perf_counter()
         value = self.reduce_frame(name, what, dtype).first()["value"]
-        self.note(f"resident_{what}", Reason.HOT_CACHED, began, rows=self.lookup(name).rows)
+        self.note(f"resident_{what}", choose_reduce(True), began, rows=self.lookup(name).rows)
         return value
 
+    def reduce_cold(self, df: DataFrame, value: str | Column, what: str):
+        """The same of a column that is not resident: a scan."""
+        began = time.perf_counter()
+        v, kind = normalised(df, value)
+        agg = {"sum": wrapping_sum(v) if kind == I64 else F.sum(v), "min": F.min(v), "max": F.max(v), "count": F.count(v), "avg": F.avg(v)}[what]
+        row = df.agg(agg.alias("value"), F.count(v).alias("rows")).first()
+        self.note(f"cold_{what}", choose_reduce(False), began, rows=row["rows"])
+        return row["value"]
+
     def sum(self, name: str | None):
         return self._reduce(name, "sum", I64)
 
@@ -178,17 +206,21 @@ class Store:
         column = self.lookup(name, I64)
         began = time.perf_counter()
         out = agg_all(column.frame, column.column)
-        self.note("resident_all", Reason.HOT_CACHED, began, rows=column.rows)
+        self.note("resident_all", choose_reduce(True), began, rows=column.rows)
         return out
 
     def multiplicities(self, name: str) -> DataFrame:
-        """key, m: the build side's keys and how often each occurs; kept with the column, hash-partitioned by key and sorted."""
+        """key, m: the build side's keys and how often each occurs; from the second use on kept with the column, hash-partitioned by key."""
         column = self.lookup(name, I64)
-        if column.keyed is None:
-            n = self.partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            keyed = column.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-            column.keyed = keyed.repartition(n, "key").sortWithinPartitions("key").persist(StorageLevel.MEMORY_AND_DISK)
-        return column.keyed
+        column.builds += 1
+        if column.keyed is None and column.builds > 1:
+            column.keyed = column.counts().persist(StorageLevel.MEMORY_AND_DISK)
+        return column.counts()
+
+    def clear(self) -> None:
+        """Drop every column."""
+        for name in self.names():
+            self.drop(name)
 
     # --- housekeeping
 
@@ -199,10 +231,7 @@ class Store:
             column = self._columns.pop(name, None)
             if column is None:
                 return False
-            if not any(c.frame is column.frame for c in self._columns.values()):
-                column.frame.unpersist()
-            if column.keyed is not None:
-                column.keyed.unpersist()
+            self._release(column)
             return True
 
     def info(self, name: str | None) -> str | None:

@@ -33,6 +33,7 @@ BROADCAST_KEYS = 2_000_000
 
 
 def choose_reduce(resident: bool) -> Reason:
+    """Follows where the data are: a resident column is read where it is kept, anything else is scanned."""
     return Reason.HOT_CACHED if resident else Reason.COLD_SCAN
 
 

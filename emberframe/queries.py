@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import group_sum, lag_lead, over, ranks, row_number, running, sliding, summary
-from .operators import Store, first_match_join, join_rows
+from .functions import agg_all, group_sum, lag_lead, over, over_all, ranks, row_number, running, running_all, sliding, summary
+from .operators import Store, first_match_join, join_rows, list_join
 from .operators.joins import join_frame
-from .sqlsurface import rewrite
+from .sources import copy_from, copy_to
+from .sqlsurface import SqlSurface, rewrite
 from .types import I64
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +73,13 @@ def _resident(what: str, column, dtype=None) -> Query:
 for _what in ("sum", "min", "max"):
     _add(f"resident_{_what}", _resident(_what, "l_partkey"), f"SELECT {_what}(l_partkey)::BIGINT AS {_what} FROM lineitem")
 _add("resident_sum_f64", lambda s, d: _resident("sum", "l_quantity")(s, d).select(F.round("sum", 2).alias("sum")), "SELECT round(sum(l_quantity), 2) AS sum FROM lineitem")
-_add("resident_minmax_f64", lambda s, d: _resident("max", "l_quantity")(s, d), "SELECT max(l_quantity) AS max FROM lineitem")
+def _minmax_f64(s, d):
+    store = Store(s)
+    store.upload("c", _t(s, d, "lineitem"), "l_quantity")
+    return store.reduce_frame("c", "min").withColumnRenamed("value", "min").withColumn("max", store.reduce_frame("c", "max").scalar())
+
+
+_add("resident_minmax_f64", _minmax_f64, "SELECT min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem")
 
 
 def _replace(s, d):
@@ -155,57 +163,122 @@ def _membership(s, d):
 _add("join_membership", _membership, "SELECT count(*) AS n, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 9000)")
 
 
+_P = "(SELECT s_nationkey AS k, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier) p"
 def _rows(kind: str) -> Query:
     def run(s, d):
         store = Store(s)
         store.upload("p", _t(s, d, "supplier"), "s_nationkey", order_by="s_suppkey")
-        store.upload("b", _t(s, d, "customer").where("c_custkey <= 40"), "c_nationkey", order_by="c_custkey")
+        store.upload("b", _t(s, d, "customer"), "c_nationkey", order_by="c_custkey")
         return join_rows(store, "p", "b", kind)
 
     return run
 
 
-_P = "(SELECT s_nationkey AS k, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier) p"
-_B = "(SELECT c_nationkey AS k, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer WHERE c_custkey <= 40) b"
+_B = "(SELECT c_nationkey AS k, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) b"
 for _kind in ("inner", "left"):
     _add(f"join_rows_{_kind}", _rows(_kind), f"SELECT p.i AS probe_idx, b.i AS build_idx FROM {_P} {_kind.upper()} JOIN {_B} ON p.k = b.k")
 for _kind in ("semi", "anti"):
     _add(f"join_rows_{_kind}", _rows(_kind), f"SELECT p.i AS probe_idx, NULL::BIGINT AS build_idx FROM {_P} WHERE {'NOT ' * (_kind == 'anti')}EXISTS (SELECT 1 FROM {_B} WHERE b.k = p.k)")
 
 
-def _whole_rows(kind: str) -> Query:
-    """The same over whole tables."""
+def _first_match(s, d):
+    b = _t(s, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("idx"))
+    p = _t(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderkey").alias("idx"))
+    return first_match_join(b, p)
+
+
+_add("list_join_first_match", _first_match, "SELECT o_orderkey AS probe_idx, min(l_partkey) AS build_idx FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+
+def _lists(s, d):
+    """Two small columns as arrays, as the list join takes them."""
+    b = [r[0] for r in _t(s, d, "nation").orderBy("n_nationkey").select("n_regionkey").collect()]
+    return list_join(s, b, [r[0] for r in _t(s, d, "region").orderBy("r_regionkey").select("r_regionkey").collect()])
+
+
+_add("list_join_arrays", _lists, "SELECT p.i AS probe_idx, min(b.i) AS build_idx FROM (SELECT r_regionkey AS k, row_number() OVER (ORDER BY r_regionkey) - 1 AS i FROM region) p JOIN (SELECT n_regionkey AS k, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation) b ON p.k = b.k GROUP BY 1")
+
+# --- the SQL surface: every function by name, over resident columns
+
+
+def _statement(text: str) -> Query:
+    """p: orders, indexed pair; f: the same with doubles; b: line items; n, m: nations of suppliers and customers; q: a double."""
 
     def run(s, d):
         store = Store(s)
-        store.upload("p", _t(s, d, "supplier"), "s_nationkey", order_by="s_suppkey")
-        store.upload("b", _t(s, d, "customer"), "c_nationkey", order_by="c_custkey")
-        return join_rows(store, "p", "b", kind)
+        o = _t(s, d, "orders")
+        if "'p." in text:
+            store.upload_pair("p", o, "o_orderkey", _cents("o_totalprice"))
+        if "'f." in text:
+            store.upload_pair("f", o, "o_orderkey", _cents("o_totalprice") / 4.0)
+        if "'b'" in text:
+            store.upload("b", _t(s, d, "lineitem").where("l_returnflag = 'R'"), "l_orderkey")
+        if "'n'" in text:
+            store.upload("n", _t(s, d, "supplier"), "s_nationkey", order_by="s_suppkey")
+            store.upload("m", _t(s, d, "customer"), "c_nationkey", order_by="c_custkey")
+        if "'q'" in text:
+            store.upload("q", _t(s, d, "lineitem"), "l_quantity")
+        surface = SqlSurface(store)
+        out = None
+        for one in text.split(";"):
+            out = surface.run(one)
+        return out
 
     return run
 
 
-_WHOLE = "(SELECT c_nationkey AS k, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) b"
-for _kind in ("inner", "left"):
-    _add(f"join_rows_whole_{_kind}", _whole_rows(_kind), f"SELECT p.i AS probe_idx, b.i AS build_idx FROM {_P} {_kind.upper()} JOIN {_WHOLE} ON p.k = b.k")
-for _kind in ("semi", "anti"):
-    _add(f"join_rows_whole_{_kind}", _whole_rows(_kind), f"SELECT p.i AS probe_idx, NULL::BIGINT AS build_idx FROM {_P} WHERE {'NOT ' * (_kind == 'anti')}EXISTS (SELECT 1 FROM {_WHOLE} WHERE b.k = p.k)")
+for _what in ("sum", "min", "max"):
+    _add(f"sql_{_what}_resident", _statement(f"SELECT hot_{_what}_resident('p.v') AS v"), f"SELECT {_what}(round(o_totalprice * 100)::BIGINT)::BIGINT AS v FROM orders")
+    _add(f"sql_{_what}_resident_f64", _statement(f"SELECT round(hot_{_what}_resident_f64('q'), 2) AS v"), f"SELECT round({_what}(l_quantity), 2) AS v FROM lineitem")
+_SIDE = "(SELECT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R') b"
+for _kind, _name in (("inner", "join"), ("left", "left_join"), ("semi", "semi_join"), ("anti", "anti_join")):
+    _from = f"orders {_kind.upper()} JOIN {_SIDE} ON o_orderkey = b.k" if _kind in ("inner", "left") else f"orders WHERE {'NOT ' * (_kind == 'anti')}EXISTS (SELECT 1 FROM {_SIDE} WHERE b.k = o_orderkey)"
+    _add(f"sql_{_name}_sum", _statement(f"SELECT hot_{_name}_sum_resident('p.k', 'p.v', 'b') AS v"), f"SELECT sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS v FROM {_from}")
+    _add(f"sql_{_name}_sum_f64", _statement(f"SELECT round(hot_{_name}_sum_resident_f64('f.k', 'f.v', 'b'), 1) AS v"), f"SELECT round(sum(round(o_totalprice * 100)::BIGINT / 4.0), 1) AS v FROM {_from}")
+    _add(f"sql_{_name}_count", _statement(f"SELECT hot_{_name}_count_resident('p.k', 'b') AS v"), f"SELECT count(*) AS v FROM {_from}")
+    _add(f"sql_join_rows_{_kind}", _statement(f"SELECT probe_idx, build_idx FROM hot_join_rows_resident('n', 'm', '{_kind.title()}')"), SQL[f"join_rows_{_kind}"])
+_add("sql_list_join", _statement("SELECT * FROM hot_inner_join(array(10, 20, 30, 20), array(20, 40, 99, 20, 10))"), "SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT), (3, 1), (4, 0)) t(probe_idx, build_idx)")
+_add("sql_resident_info", _statement("SELECT hot_resident_info('b') AS info, hot_resident_info(NULL) AS none"), "SELECT 'dtype=I64 rows=' || count(*) || ' device=spark' AS info, NULL::VARCHAR AS none FROM lineitem WHERE l_returnflag = 'R'")
+_add("sql_drop_resident", _statement("SELECT 'b'; DROP RESIDENT 'b'; DROP RESIDENT 'b'"), "SELECT false AS dropped")
+_add("sql_last_stats", _statement("SELECT hot_sum_resident('p.v'); SELECT regexp_extract(hot_last_stats(), 'op=(\\\\w+)', 1) AS op, regexp_extract(hot_last_stats(), 'reason=(\\\\w+)', 1) AS reason"), "SELECT 'sql_sum' AS op, 'Hot_Cached' AS reason")
+_add("sql_build_info", _statement("SELECT hot_build_info() LIKE 'compiled=spark-%runtime=%' AS ok"), "SELECT true AS ok")
+_add("agg_all_empty", lambda s, d: s.createDataFrame([tuple(agg_all(_t(s, d, "orders").where("o_orderkey < 0"), "o_orderkey").values())], "sum bigint, min bigint, max bigint, count bigint"), "SELECT 0::BIGINT AS sum, 9223372036854775807 AS min, (-9223372036854775807 - 1)::BIGINT AS max, 0::BIGINT AS count")
+
+
+def _cold_reduce(s, d):
+    store = Store(s)
+    value = store.reduce_cold(_t(s, d, "lineitem"), "l_partkey", "sum")
+    return s.createDataFrame([(value, store.last_decision.reason.value)], "sum bigint, reason string")
 
 
-def _first_match(s, d):
-    b = _t(s, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("idx"))
-    p = _t(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderkey").alias("idx"))
-    return first_match_join(b, p)
+_add("plan_cold_reduce", _cold_reduce, "SELECT sum(l_partkey)::BIGINT AS sum, 'Cold_Scan' AS reason FROM lineitem")
 
 
-_add("list_join_first_match", _first_match, "SELECT o_orderkey AS probe_idx, min(l_partkey) AS build_idx FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def _copied(kind: str) -> Query:
+    """Orders written to files of the kind and read again."""
+
+    def run(s, d):
+        import tempfile
+
+        path = f"{s.sparkContext.getConf().get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()}/emberframe-copy-{uuid.uuid4().hex}"
+        rows = _t(s, d, "orders").select("o_orderkey", "o_orderpriority", _cents("o_totalprice").alias("cents"))
+        copy_to(rows, path, kind)
+        return copy_from(s, path, kind, "o_orderkey bigint, o_orderpriority string, cents bigint")
+
+    return run
+
+
+for _kind in ("parquet", "csv"):
+    _add(f"copy_{_kind}", _copied(_kind), "SELECT o_orderkey, o_orderpriority, round(o_totalprice * 100)::BIGINT AS cents FROM orders")
+_add("series_values", lambda s, d: s.sql("SELECT (SELECT bigint(sum(id)) FROM range(3, 1000)) AS series, (SELECT bigint(sum(x)) FROM VALUES (1), (NULL), (5) t(x)) AS listed"), "SELECT (SELECT sum(range)::BIGINT FROM range(3, 1000)) AS series, (SELECT sum(x)::BIGINT FROM (VALUES (1), (NULL), (5)) t(x)) AS listed")
 
 # --- windows
 
 _E = ["user_id", "event_id"]
 _add("window_unbounded", lambda s, d: (e := _t(s, d, "events")).select("event_id", over(e, "user_id", W.partitionBy("event_type")).alias("total")), "SELECT event_id, sum(user_id) OVER (PARTITION BY event_type)::BIGINT AS total FROM events")
-_add("window_running", lambda s, d: (e := _t(s, d, "events").where("user_id < 20")).select("event_id", running(e, "event_id", ["event_id"], ["event_type"]).alias("total")), "SELECT event_id, sum(event_id) OVER (PARTITION BY event_type ORDER BY event_id)::BIGINT AS total FROM events WHERE user_id < 20")
-_add("window_running_whole", lambda s, d: (e := _t(s, d, "events")).select("event_id", running(e, "event_id", ["event_id"], ["event_type"]).alias("total")), "SELECT event_id, sum(event_id) OVER (PARTITION BY event_type ORDER BY event_id)::BIGINT AS total FROM events")
+_add("window_over_all", lambda s, d: over_all(over_all(over_all(_t(s, d, "events"), "user_id", "total"), "value", "lo", "min"), "value", "hi", "max").select("event_id", "total", "lo", "hi"), "SELECT event_id, sum(user_id) OVER ()::BIGINT AS total, min(value) OVER () AS lo, max(value) OVER () AS hi FROM events")
+_add("window_running_all", lambda s, d: running_all(_t(s, d, "events"), "user_id", "event_id", "total").select("event_id", "total"), "SELECT event_id, sum(user_id) OVER (ORDER BY event_id)::BIGINT AS total FROM events")
+_add("window_ntile", lambda s, d: _t(s, d, "events").select("event_id", ranks(["event_id"], ["user_id"])["ntile"].alias("ntile")), "SELECT event_id, ntile(4) OVER (PARTITION BY user_id ORDER BY event_id) AS ntile FROM events")
+_add("window_running", lambda s, d: (e := _t(s, d, "events")).select("event_id", running(e, "event_id", ["event_id"], ["event_type"]).alias("total")), "SELECT event_id, sum(event_id) OVER (PARTITION BY event_type ORDER BY event_id)::BIGINT AS total FROM events")
 _add("window_partition_running", lambda s, d: (e := _t(s, d, "events")).select("event_id", running(e, "event_id", ["event_id"], ["user_id"]).alias("total")), "SELECT event_id, sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS total FROM events")
 _add("window_minmax", lambda s, d: (e := _t(s, d, "events")).select("event_id", running(e, "value", ["event_id"], ["user_id"], "min").alias("lo"), running(e, "value", ["event_id"], ["user_id"], "max").alias("hi")), "SELECT event_id, min(value) OVER w AS lo, max(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 _add("row_number_global", lambda s, d: row_number(_t(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey").select("o_orderkey", "row_number"), "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS row_number FROM orders")
@@ -231,7 +304,22 @@ for _name, _tables, _text, _duck in (
     ("host_exists", "orders lineitem", "SELECT {sum} AS s FROM (SELECT o_custkey AS v FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'O')) t", "sum(v)::BIGINT"),
     ("host_like_isdistinct", "customer", "SELECT {sum} AS s, count(*) AS n FROM (SELECT c_custkey AS v FROM customer WHERE c_mktsegment LIKE 'A%' OR (c_name NOT LIKE '%1%' AND c_nationkey IS NOT DISTINCT FROM 3)) t", "sum(v)::BIGINT"),
     ("host_scalar_subquery", "orders", "SELECT {sum} AS s, coalesce(max(abs(greatest(v, 5))), 0) AS g FROM (SELECT o_custkey AS v FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)) t", "sum(v)::BIGINT"),
+    ("host_typeof_concat", "orders", "SELECT {type} AS t, o_orderstatus || '-' || o_orderpriority AS k, {sum} AS s FROM (SELECT *, o_custkey AS v FROM orders) t GROUP BY 2", "sum(v)::BIGINT"),
+    ("host_literals", "orders", "SELECT {sum} AS s, min(v) = -9223372036854775807 - 1 AS low, max(d) = CAST('inf' AS DOUBLE) AS up, min(d) = CAST('-inf' AS DOUBLE) AS down FROM (SELECT -9223372036854775807 - 1 AS v, CAST('inf' AS DOUBLE) AS d UNION ALL SELECT 9223372036854775807, CAST('-inf' AS DOUBLE) UNION ALL SELECT o_orderkey, 1.5 FROM orders) t", "(sum(v::HUGEINT))::BIGINT"),
+    ("host_error_gate", "orders lineitem", "SELECT CASE WHEN (SELECT count(*) FROM lineitem) < (SELECT count(*) FROM orders) THEN {error}('parity') ELSE 'ok' END AS gate, {sum} AS s FROM (SELECT o_custkey AS v FROM orders) t", "sum(v)::BIGINT"),
     ("host_window", "events", "SELECT event_id, {sum} OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM (SELECT *, event_id AS v FROM events) t", "sum(v)"),
 ):
-    _duck_text = _text.format(sum=_duck).replace("sum(v) OVER (PARTITION BY user_id ORDER BY event_id)", "sum(v) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT")
-    _add(_name, _sql(_text.format(sum="hot_sum(v)"), _tables), _duck_text)
+    _duck_text = _text.replace("{type}", "lower(typeof(count(*)))").replace("{error}", "error").format(sum=_duck).replace("sum(v) OVER (PARTITION BY user_id ORDER BY event_id)", "sum(v) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT")
+    _spark_text = _text.replace("{type}", "typeof(count(*))").replace("{error}", "raise_error")
+    _add(_name, _sql(_spark_text.format(sum="hot_sum(v)"), _tables), _duck_text)
+
+
+def _created(s, d):
+    """A table made from a query, then read by a second statement."""
+    surface = SqlSurface(Store(s))
+    _t(s, d, "orders").createOrReplaceTempView("orders")
+    surface.run("CREATE OR REPLACE TEMPORARY VIEW made AS SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1")
+    return surface.run("SELECT bigint(sum(k)) AS s, max(n) AS top FROM made")
+
+
+_add("host_multi_statement", _created, "SELECT sum(k)::BIGINT AS s, max(n) AS top FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1)")

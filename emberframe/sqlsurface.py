@@ -10,18 +10,18 @@ from __future__ import annotations
 import re
 import sys
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.joins import ROW_CAP, join_rows
 from .operators.store import Store
-from .types import I64, EngineError
-
-_WRAP = "(shiftleft((sum({hi}) & 4294967295) + shiftright(sum({lo}), 32), 32) | (sum({lo}) & 4294967295))"
-
+from .plans.decisions import Reason
+from .types import I64, EngineError, wrapping_sum_sql
 
 def _wrap(v: str, times: str = "1L") -> str:
-    return _WRAP.format(hi=f"({times}) * shiftright({v}, 32)", lo=f"({times}) * (({v}) & 4294967295)")
+    return wrapping_sum_sql(v, times)
 
 
 _KINDS = {
@@ -33,8 +33,8 @@ _KINDS = {
 
 
 class SqlSurface:
-    def __init__(self, store: Store):
-        self.store, self.spark = store, store.spark
+    def __init__(self, store: Store, row_cap: int = ROW_CAP):
+        self.store, self.spark, self.row_cap = store, store.spark, row_cap
         self.refresh()
         self._functions()
 
@@ -55,7 +55,10 @@ class SqlSurface:
                 pairs = pairs.unionByName(c.frame.select(F.lit(name[:-2] + ".k").alias("kname"), F.lit(name).alias("vname"), "k", i64.alias("i64"), f64.alias("f64")))
         values.createOrReplaceTempView("resident_values")
         pairs.createOrReplaceTempView("resident_pairs")
-        keys = values.where("i64 IS NOT NULL").groupBy("name", F.col("i64").alias("key")).agg(F.count(F.lit(1)).alias("m"))
+        keys = spark.sql(f"SELECT {none.format('STRING', 'name')}, {none.format('BIGINT', 'key')}, {none.format('BIGINT', 'm')} WHERE false")
+        for name in store.names():
+            if (c := store.lookup(name)).dtype == I64:
+                keys = keys.unionByName(c.counts().select(F.lit(name).alias("name"), "key", "m"))
         keys.createOrReplaceTempView("resident_keys")
         spark.createDataFrame(facts, "name string, dtype string, rows bigint").createOrReplaceTempView("resident_columns")
         spark.createDataFrame([(store.last_stats(), store.build_info())], "stats string, build string").createOrReplaceTempView("resident_stats")
@@ -86,15 +89,6 @@ class SqlSurface:
         define("hot_resident_info(n STRING) RETURNS STRING", f"CASE WHEN n IS NULL THEN NULL WHEN {known('n', None)} THEN (SELECT max(concat('dtype=', dtype, ' rows=', rows, ' device=spark')) FROM resident_columns c WHERE c.name = n) END")
         define("hot_last_stats() RETURNS STRING", "(SELECT max(stats) FROM resident_stats)")
         define("hot_build_info() RETURNS STRING", "(SELECT max(build) FROM resident_stats)")
-        define(
-            "hot_join_rows_resident(pn STRING, bn STRING, kind STRING) RETURNS TABLE(probe_idx BIGINT, build_idx BIGINT)",
-            """SELECT p.idx, if(lower(kind) IN ('inner', 'left'), b.idx, NULL)
-               FROM (SELECT * FROM resident_values WHERE name = pn) p
-               LEFT JOIN (SELECT idx, i64, row_number() OVER (PARTITION BY i64 ORDER BY idx) AS nth FROM resident_values WHERE name = bn) b
-                 ON p.i64 = b.i64 AND (lower(kind) IN ('inner', 'left') OR b.nth = 1)
-               WHERE CASE lower(kind) WHEN 'left' THEN true WHEN 'anti' THEN b.i64 IS NULL WHEN 'inner' THEN b.i64 IS NOT NULL WHEN 'semi' THEN b.i64 IS NOT NULL
-                     ELSE raise_error(concat('unknown kind of join ', kind)) END""",
-        )
         define(
             "hot_inner_join(build ARRAY<BIGINT>, probe ARRAY<BIGINT>) RETURNS TABLE(probe_idx BIGINT, build_idx BIGINT)",
             """SELECT CAST(p.pos AS BIGINT), CAST(b.pos AS BIGINT) FROM posexplode(probe) AS p(pos, k)
@@ -118,7 +112,49 @@ class SqlSurface:
             dropped = self.store.drop(m[1])
             self.refresh()
             return self.spark.createDataFrame([(dropped,)], "dropped boolean")
-        return self.spark.sql(rewrite(s))
+        return self.spark.sql(rewrite(self._resident(s)))
+
+    def _resident(self, sql: str) -> str:
+        """Row joins become views of the engine's own, with its cap and its errors; statistics are those of the last statement."""
+        while m := _ROWS.search(sql):
+            p, b, kind = (x.replace("''", "'") for x in m.groups())
+            view = f"resident_rows_{uuid.uuid4().hex}"
+            join_rows(self.store, p, b, kind, self.row_cap).createOrReplaceTempView(view)
+            sql = sql[: m.start()] + view + sql[m.end() :]
+        if re.search(r"\bhot_join_rows_resident\s*\(", sql, re.IGNORECASE):
+            raise EngineError("hot_join_rows_resident takes three strings")
+        sql = re.sub(r"\bhot_last_stats\s*\(\s*\)", lambda _: _literal(self.store.last_stats()), sql, flags=re.IGNORECASE)
+        if m := re.search(r"\bhot_(\w+?)_resident(?:_f64)?\s*\(", sql, re.IGNORECASE):
+            self.store.note(f"sql_{m[1].lower()}", Reason.CATALYST if "join" in m[1].lower() else Reason.HOT_CACHED, time.perf_counter())
+        return sql
+
+
+_TEXT = r"\s*'((?:[^']|'')*)'\s*"
+_ROWS = re.compile(rf"\bhot_join_rows_resident\s*\({_TEXT},{_TEXT},{_TEXT}\)", re.IGNORECASE)
+
+
+def _literal(text: str | None) -> str:
+    return "CAST(NULL AS STRING)" if text is None else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def statements(text: str) -> list[str]:
+    """Split at semicolons outside quotes and comments."""
+    out, begin, at, quote = [], 0, 0, ""
+    while at < len(text):
+        ch = text[at]
+        if quote:
+            at += ch == "\\" and quote != "`"
+            quote = "" if ch == quote else quote
+        elif ch in "'\"`":
+            quote = ch
+        elif text.startswith("--", at):
+            end = text.find("\n", at)
+            at = len(text) if end < 0 else end
+        elif ch == ";":
+            out.append(text[begin:at])
+            begin = at + 1
+        at += 1
+    return [s for s in [*out, text[begin:]] if s.strip()]
 
 
 def _argument(sql: str, at: int) -> int:
@@ -148,8 +184,7 @@ def rewrite(sql: str) -> str:
             tail = _argument(sql, tail + t.end() - 1) + 1
         rest, what = sql[end + 1 : tail], m[1].lower()
         if what == "sum":
-            hi, lo = f"sum(shiftright(bigint({arg}), 32)){rest}", f"sum(bigint({arg}) & 4294967295){rest}"
-            new = f"(shiftleft(({hi} & 4294967295) + shiftright({lo}, 32), 32) | ({lo} & 4294967295))"
+            new = wrapping_sum_sql(f"bigint({arg})", None, rest)
         else:
             new = f"{'sum' if what == 'sum_f64' else what}({f'double({arg})' if what == 'sum_f64' else arg}){rest}"
         sql = sql[: m.start()] + new + sql[tail:]
@@ -157,27 +192,40 @@ def rewrite(sql: str) -> str:
 
 
 def main(args: list[str] | None = None) -> int:
-    """python -m emberframe.sqlsurface [--sql TEXT] [--multi]: SQL from the option or standard input; tab-separated rows."""
+    """python -m emberframe.sqlsurface [--db FOLDER] [--sql TEXT] [--multi] [--out FILE]: SQL from the option or standard input; tab-separated rows.
+
+    Parquet files and folders in the database folder are views under their names.
+    """
     import argparse
+    import contextlib
 
     parser = argparse.ArgumentParser()
+    parser.add_argument("--db")
     parser.add_argument("--sql")
     parser.add_argument("--multi", action="store_true")
+    parser.add_argument("--out")
     options = parser.parse_args(args)
     text = options.sql if options.sql is not None else sys.stdin.read()
     spark = SparkSession.builder.getOrCreate()
+    if options.db:
+        jvm = spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(options.db)
+        for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder):
+            if (name := f.getPath().getName()).endswith(".parquet"):
+                spark.read.parquet(f.getPath().toString()).createOrReplaceTempView(name.removesuffix(".parquet"))
     surface = SqlSurface(Store(spark))
-    for statement in [s for s in text.split(";") if s.strip()] if options.multi else [text]:
-        began = time.perf_counter()
-        try:
-            df = surface.run(statement)
-            print("\t".join(df.columns))
-            for row in df.toLocalIterator():
-                print("\t".join("NULL" if v is None else str(v) for v in row))
-        except Exception as e:  # noqa: BLE001  the first error ends the run
-            print(f"error: {e}", file=sys.stderr)
-            return 3
-        print(f"{(time.perf_counter() - began) * 1000:.1f} ms", file=sys.stderr)
+    with open(options.out, "w", encoding="utf-8") if options.out else contextlib.nullcontext(sys.stdout) as out:
+        for statement in statements(text) if options.multi else [text]:
+            began = time.perf_counter()
+            try:
+                df = surface.run(statement)
+                print("\t".join(df.columns), file=out)
+                for row in df.toLocalIterator():
+                    print("\t".join("NULL" if v is None else str(v) for v in row), file=out)
+            except Exception as e:  # noqa: BLE001  the first error ends the run
+                print(f"error: {e}", file=sys.stderr)
+                return 3
+            print(f"{(time.perf_counter() - began) * 1000:.1f} ms", file=sys.stderr)
     return 0
 
 

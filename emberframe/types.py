@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 I64, F64 = "I64", "F64"
-#: Keeps the session's ANSI flag out of it: the two halves cannot overflow.
-_LOW = 0xFFFFFFFF
+#: Bits of a limb of a wrapping sum, and the number of rows (or of pairs) up to which its limbs cannot overflow.
+LIMB, LIMB_TIMES = 16, 1 << 46
+_LOW = (1 << LIMB) - 1
 
 
 class EngineError(ValueError):
@@ -34,32 +35,46 @@ def normalised(df: DataFrame, column: str | Column) -> tuple[Column, str]:
 def wrapping_sum(v: Column, times: Column | None = None) -> Column:
     """Sum of times * v modulo 2 ** 64 as a signed bigint; null over no values.
 
-    High and low halves are summed apart, so nothing overflows under either ANSI
-    setting while the times add up to less than 2 ** 31.
+    Four 16-bit limbs are summed apart, so nothing overflows under either ANSI
+    setting while the times add up to less than LIMB_TIMES.
     """
-    hi, lo = _halves(v, times)
-    return join_halves(F.sum(hi), F.sum(lo))
+    return join_limbs([F.sum(x) for x in _limbs(v, times)])
 
 
 def wrapping_sum_over(v: Column, window) -> Column:
-    hi, lo = _halves(v, None)
-    return join_halves(F.sum(hi).over(window), F.sum(lo).over(window))
-
-
-def _halves(v: Column, times: Column | None) -> tuple[Column, Column]:
-    hi, lo = F.shiftright(v, 32), v.bitwiseAND(F.lit(_LOW))
-    return (hi, lo) if times is None else (hi * times, lo * times)
-
-
-def join_halves(hi: Column, lo: Column) -> Column:
-    top = hi.bitwiseAND(F.lit(_LOW)) + F.shiftright(lo, 32)  # only its low half counts
-    return F.shiftleft(top, 32).bitwiseOR(lo.bitwiseAND(F.lit(_LOW)))
-
-
-def exact_wrapping_sum(v: Column, times: Column) -> Column:
-    """The same for any multipliers, by way of decimals."""
-    s = F.sum(v.cast("decimal(20,0)") * times.cast("decimal(18,0)"))
-    m = F.pmod(s, F.lit("18446744073709551616").cast("decimal(38,0)"))
-    half = F.lit("9223372036854775808").cast("decimal(38,0)")
-    whole = F.lit("18446744073709551616").cast("decimal(38,0)")
-    return F.when(m >= half, m - whole).otherwise(m).cast("bigint")
+    return join_limbs([F.sum(x).over(window) for x in _limbs(v, None)])
+
+
+def wrapping_add(a: Column, b: Column) -> Column:
+    """a + b modulo 2 ** 64."""
+    return join_limbs([x + y for x, y in zip(_limbs(a, None), _limbs(b, None), strict=True)])
+
+
+def _limbs(v: Column, times: Column | None) -> list[Column]:
+    """From the lowest; the highest has the sign."""
+    low = [(v if not i else F.shiftright(v, LIMB * i)).bitwiseAND(F.lit(_LOW)) for i in range(3)]
+    limbs = [*low, F.shiftright(v, 3 * LIMB)]
+    return limbs if times is None else [x * times for x in limbs]
+
+
+def join_limbs(sums: list[Column]) -> Column:
+    """Carries go up; what goes over the highest limb is lost, as it is modulo 2 ** 64."""
+    out, carry = None, None
+    for i, total in enumerate(sums):
+        total = total if carry is None else total + carry
+        limb = total.bitwiseAND(F.lit(_LOW))
+        out = limb if out is None else out.bitwiseOR(F.shiftleft(limb, LIMB * i))
+        carry = F.shiftright(total, LIMB)
+    return out
+
+
+def wrapping_sum_sql(v: str, times: str | None = None, tail: str = "") -> str:
+    """The same as SQL text; `tail` is a FILTER or OVER clause."""
+    limbs = [f"(shiftright({v}, {LIMB * i}) & {_LOW}L)" if i < 3 else f"shiftright({v}, {LIMB * i})" for i in range(4)]
+    sums = [f"sum({x if times is None else f'({times}) * {x}'}){tail}" for x in limbs]
+    parts, carry = [], ""
+    for i, total in enumerate(sums):
+        total = f"({total}{carry})"
+        parts.append(f"shiftleft({total} & {_LOW}L, {LIMB * i})")
+        carry = f" + shiftright({total}, {LIMB})"
+    return f"({' | '.join(parts)})"

@@ -109,7 +109,7 @@ def test_row_joins_over_whole_tables(spark):
     alone = {(i, None) for i, x in enumerate(p) if x not in b}
     want = {"inner": inner, "left": inner | alone, "semi": {(i, None) for i, x in enumerate(p) if x in b}, "anti": alone}
     for kind, rows in want.items():
-        got = [tuple(r) for r in QUERIES[f"join_rows_whole_{kind}"](spark, d).select("probe_idx", "build_idx").collect()]
+        got = [tuple(r) for r in QUERIES[f"join_rows_{kind}"](spark, d).select("probe_idx", "build_idx").collect()]
         assert len(got) == len(rows) and set(got) == rows
 
 
@@ -123,4 +123,140 @@ def test_running_over_whole_events(spark):
     for e, kind in sorted((r[0], r[1]) for r in spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type").collect()):
         totals[kind] += e
         want.append((e, totals[kind]))
-    assert sorted(tuple(r) for r in QUERIES["window_running_whole"](spark, d).collect()) == want
+    assert sorted(tuple(r) for r in QUERIES["window_running"](spark, d).collect()) == want
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_wrapping_sums(spark, ansi):
+    from pyspark.sql import functions as F
+
+    from emberframe.types import wrapping_sum, wrapping_sum_sql
+
+    wrap = lambda n: (n + 2**63) % 2**64 - 2**63
+    was = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        for values in ([2**63 - 1, 1], [-(2**63), -1], [5, -7, 3], [2**63 - 1] * 5, [-(2**63)] * 3 + [17]):
+            df = spark.createDataFrame([(v,) for v in values], "v bigint")
+            times = 3_000_000_000
+            assert df.agg(wrapping_sum(F.col("v")), wrapping_sum(F.col("v"), F.lit(times)), F.expr(wrapping_sum_sql("v"))).first()[:] == (wrap(sum(values)), wrap(times * sum(values)), wrap(sum(values)))
+        if ansi == "false":
+            return
+        rows = spark.range(2_200_000_000).select(F.lit(4_294_967_295).alias("v"))  # over 2 ** 31 rows
+        assert fn.summary(rows, "v").first()["sum"] == wrap(2_200_000_000 * 4_294_967_295)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", was)
+
+
+def test_windows_without_partitions(spark):
+    df = spark.createDataFrame([(i, (i * 37) % 11 - 5) for i in range(2000)], "i bigint, v bigint").repartition(5)
+    total = 0
+    for r in fn.running_all(df, "v", "i", "t").orderBy("i").collect():
+        total += r["v"]
+        assert r["t"] == total
+    assert {r["t"] for r in fn.over_all(df, "v", "t").collect()} == {total}
+    assert [r["n"] for r in fn.numbered(df, ["v", "i"], "n").orderBy("v", "i").collect()] == list(range(1, 2001))
+    assert fn.running_all(df.where("false"), "v", "i", "t").collect() == []
+
+
+SCENARIOS = {
+    "many copies": ([i % 97 for i in range(900)], [i % 53 for i in range(400)]),
+    "scattered": ([(i * 2654435761) % 2**32 for i in range(500)], [(i * 2654435761) % 2**32 for i in range(0, 500, 3)]),
+    "one hot key": ([7 if i % 10 else i for i in range(800)], [7] * 90 + list(range(10))),
+    "boundaries": ([2**63 - 1, -(2**63), 0, -1] * 3, [2**63 - 1, -(2**63)]),
+    "negative": ([-i for i in range(200)], [-i for i in range(0, 300, 2)]),
+    "none": (list(range(50)), list(range(100, 150))),
+    "all": (list(range(50)), list(range(50))),
+    "one probe row": ([3], [3, 3, 4]),
+    "one build row": ([3, 3, 4], [3]),
+    "large build": ([5, 9], list(range(3000))),
+}
+
+
+@pytest.mark.parametrize("name", SCENARIOS)
+def test_join_scenarios(spark, name):
+    from collections import Counter
+
+    probe, build = SCENARIOS[name]
+    times = Counter(build)
+    many = {"inner": lambda m: m, "left": lambda m: max(m, 1), "semi": lambda m: int(m > 0), "anti": lambda m: int(m == 0)}
+    for payload, dtype in (([i % 1000 for i in range(len(probe))], "I64"), ([i / 4 for i in range(len(probe))], F64)):
+        store = Store(spark)
+        store.upload_pair("p", spark.createDataFrame(list(zip(probe, payload, strict=True)), f"k bigint, v {'bigint' if dtype == 'I64' else 'double'}"), "k", "v")
+        store.upload("b", spark.createDataFrame([(k,) for k in build], "k bigint"), "k")
+        for kind, f in many.items():
+            used = [(v, f(times[k])) for k, v in zip(probe, payload, strict=True) if f(times[k])]
+            want = sum(v * n for v, n in used) if used else None
+            for hint in (None, "merge"):
+                assert join_sum(store, kind, "p.k", "p.v", "b", dtype, hint) == want
+            assert join_count(store, kind, "p.k", "b") == sum(n for _, n in used)
+        store.clear()
+
+
+def test_grouped_upload(spark):
+    store = Store(spark)
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("c", None)], "n string, v bigint")
+    assert store.upload_grouped(rows, "n", "v") == {"a": 2, "b": 1}
+    assert store.sum("a") == 4 and store.drop("a") and store.sum("b") == 2
+    with pytest.raises(EngineError, match="name"):
+        store.upload_grouped(rows.union(spark.sql("SELECT CAST(NULL AS STRING), 5L")), "n", "v")
+    with pytest.raises(EngineError, match="cap"):
+        Store(spark, cap_bytes=10).upload_grouped(rows, "n", "v")
+    assert store.upload_grouped(rows.where("false"), "n", "v") == {}
+
+
+@pytest.mark.parametrize("append", [False, True])
+def test_stream(spark, tmp_path, append):
+    from emberframe.streaming import refresh_from_stream
+
+    source, store = tmp_path / "in", Store(spark)
+    source.mkdir()
+    for i in range(3):
+        (source / f"{i}.csv").write_text(f"{10**i}\n")
+    stream = spark.readStream.schema("v bigint").option("maxFilesPerTrigger", 1).csv(str(source))
+    query = refresh_from_stream(store, "s", stream, "v", str(tmp_path / "checkpoint"), append)
+    query.processAllAvailable()
+    query.stop()
+    assert store.sum("s") == (111 if append else store.max("s"))
+    assert store.lookup("s").rows == (3 if append else 1)
+
+
+def test_sql_rows_and_runner(joined, spark, tmp_path, monkeypatch, capsys):
+    from emberframe import sqlsurface
+
+    sql = SqlSurface(joined, row_cap=3)
+    with pytest.raises(EngineError, match="4 rows"):
+        sql.run("SELECT * FROM hot_join_rows_resident('p.k', 'b', 'inner')")
+    with pytest.raises(EngineError, match="'zz'"):
+        sql.run("SELECT * FROM hot_join_rows_resident('p.k', 'zz', 'semi')")
+    with pytest.raises(EngineError, match="cross"):
+        sql.run("SELECT * FROM hot_join_rows_resident('p.k', 'b', 'cross')")
+    assert sql.run("SELECT count(*) FROM hot_join_rows_resident('p.k', 'b', 'SEMI') r").first()[0] == 2
+    sql.run("SELECT hot_sum_resident('p.v')").collect()
+    assert "op=sql_sum" in sql.run("SELECT hot_last_stats()").first()[0]
+    assert sqlsurface.statements("SELECT ';' AS a; -- x; y\nSELECT 2;\n") == ["SELECT ';' AS a", " -- x; y\nSELECT 2"]
+    spark.range(3).write.parquet(str(tmp_path / "db" / "t.parquet"))
+    out = tmp_path / "out.tsv"
+    assert sqlsurface.main(["--db", str(tmp_path / "db"), "--multi", "--out", str(out), "--sql", "SELECT ';' AS a, NULL AS b; SELECT hot_sum(id) AS s FROM t"]) == 0
+    assert out.read_text() == "a\tb\n;\tNULL\ns\n3\n"
+    assert sqlsurface.main(["--sql", "SELECT * FROM nowhere"]) == 3
+
+
+def test_forced_backend_is_ignored(spark, monkeypatch):
+    """Another engine's switch changes nothing."""
+    monkeypatch.setenv("EMBERFRAME_FORCE_BACKEND", "nothing")
+    store = Store(spark)
+    store.upload("x", series(spark, 10), "v")
+    assert store.sum("x") == 45 and store.reduce_cold(series(spark, 10), "v", "sum") == 45
+    assert "reason=Cold_Scan" in store.last_stats()
+
+
+def test_copies(spark, tmp_path):
+    from emberframe.sources import copy_from, copy_to
+
+    rows = spark.createDataFrame([(1, "a,\"b\""), (2, ""), (3, None)], "i bigint, s string")
+    for kind in ("parquet", "csv"):
+        copy_to(rows, str(tmp_path / kind), kind)
+        assert sorted(map(tuple, copy_from(spark, str(tmp_path / kind), kind, "i bigint, s string").collect())) == sorted(map(tuple, rows.collect()))
+    with pytest.raises(EngineError):
+        copy_to(rows, str(tmp_path / "x"), "orc")
