@@ -29,25 +29,41 @@ def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
     marks = list(dict.fromkeys(r["at"] for r in sample[SPLIT_SAMPLE::SPLIT_SAMPLE]))
     if not marks:
         return df.withColumn("__range", F.lit(0))
-    # two steps over lists as long as the root of their number
-    kind = df.select(at.alias("at")).schema[0].dataType
-    step = max(1, round(len(marks) ** 0.5))
-    lists = [marks[i : i + step] for i in range(0, len(marks), step)]
-    schema = T.StructType([T.StructField("__heads", T.ArrayType(kind)), T.StructField("__marks", T.ArrayType(T.ArrayType(kind)))])
-    table = spark.createDataFrame([([x[0] for x in lists], lists)], schema)
-    ranged = df.withColumns({c: table.select(c).scalar() for c in table.columns})
-    head = F.size(F.filter("__heads", lambda x: x <= at))
-    inside = F.size(F.filter(F.element_at("__marks", F.greatest(head, F.lit(1))), lambda x: x <= at))
-    return ranged.withColumn("__range", F.when(head == 0, 0).otherwise((head - 1) * step + inside)).drop(*table.columns)
-
-
-def _before(ranged: DataFrame, total: Column, kind: str) -> DataFrame:
-    """(__range, __before): what the ranges before each one add up to, modulo 2 ** 64.  A row for each range."""
+    kinds = [f.dataType for f in df.select(at.alias("at")).schema[0].dataType]
+    return df.withColumn("__range", _search([_below([F.col(c) for c in order], m, kinds) for m in marks], 0, len(marks)))
+
+
+def _literal(value, kind: T.DataType) -> Column:
+    """Dates and times by their text, which no time zone changes."""
+    return F.lit(str(value) if isinstance(kind, T.TimestampNTZType | T.DateType) and value is not None else value).cast(kind)
+
+
+def _below(columns: list[Column], mark, kinds: list[T.DataType]) -> Column:
+    """Whether the columns come before the mark, in order; nulls first."""
+    out = F.lit(False)
+    for c, v, kind in reversed(list(zip(columns, mark, kinds, strict=True))):
+        v_ = _literal(v, kind)
+        less = F.lit(False) if v is None else c.isNull() | (c < v_)
+        out = less | (c.eqNullSafe(v_) & out)
+    return out
+
+
+def _search(below: list[Column], lo: int, hi: int) -> Column:
+    """How many marks do not come after the row: a binary search written out."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(below[mid], _search(below, lo, mid)).otherwise(_search(below, mid + 1, hi))
+
+
+def _before(ranged: DataFrame, total: Column) -> Column:
+    """What the ranges before a row's own add up to, modulo 2 ** 64.  A row for each range is collected."""
+    totals = {r["__range"]: r["t"] or 0 for r in ranged.groupBy("__range").agg(total.alias("t")).collect()}
     starts, before = [], 0
-    for r in sorted(ranged.groupBy("__range").agg(total.alias("t")).collect()):
-        starts.append((r["__range"], before))
-        before = (before + (r["t"] or 0) + 2**63) % 2**64 - 2**63
-    return F.broadcast(ranged.sparkSession.createDataFrame(starts, f"__range int, __before {kind}"))
+    for i in range(max(totals, default=0) + 1):
+        starts.append(F.lit(before).cast("bigint"))
+        before = (before + totals.get(i, 0) + 2**63) % 2**64 - 2**63
+    return F.element_at(F.array(*starts), F.col("__range") + 1)
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
@@ -58,8 +74,7 @@ def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """
     ranged = _ranged(df, order)
     inside = F.row_number().over(W.partitionBy("__range").orderBy(*order))
-    out = ranged.withColumn("__at", inside).join(_before(ranged, F.count(F.lit(1)), "bigint"), "__range")
-    return out.withColumn(name, F.col("__before") + F.col("__at")).drop("__range", "__before", "__at")
+    return ranged.withColumn("__at", inside).withColumn(name, _before(ranged, F.count(F.lit(1))) + F.col("__at")).drop("__range", "__at")
 
 
 def row_number(df: DataFrame, key: str, position: str, by: Sequence[str] = ()) -> DataFrame:
@@ -80,7 +95,7 @@ def running_all(df: DataFrame, value: str, order: str, name: str) -> DataFrame:
     """Adds `name`, the running sum of whole numbers over all rows by a unique `order`: a total for each range and a running sum inside it."""
     v, _ = normalised(df, value)
     ranged = _ranged(df, [order])
-    out = ranged.withColumn("__own", wrapping_sum_over(v, W.partitionBy("__range").orderBy(order))).join(_before(ranged, wrapping_sum(v), "bigint"), "__range")
+    out = ranged.withColumn("__own", wrapping_sum_over(v, W.partitionBy("__range").orderBy(order))).withColumn("__before", _before(ranged, wrapping_sum(v)))
     both = F.when(F.col("__own").isNull() & (F.col("__before") == 0), None).otherwise(wrapping_add(F.coalesce("__own", F.lit(0).cast("bigint")), F.col("__before")))
     return out.withColumn(name, both).drop("__range", "__own", "__before")
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..types import EngineError
 
 KINDS = ("parquet", "csv")
-_CSV = {"header": True, "emptyValue": "", "nullValue": "\\N", "escape": '"'}
+_CSV = {"header": True, "nullValue": "\\N", "escape": '"'}
 
 
 def copy_to(df: DataFrame, path: str, kind: str = "parquet") -> None:
@@ -16,7 +16,7 @@ def copy_to(df: DataFrame, path: str, kind: str = "parquet") -> None:
         raise EngineError(f"unknown kind of file {kind!r}; one of {', '.join(KINDS)}")
     writer = df.write.mode("errorifexists")
     if kind == "csv":
-        writer = writer.options(**_CSV)
+        writer = writer.options(**_CSV, emptyValue='""')
     writer.format(kind).save(path)
 
 
@@ -27,5 +27,5 @@ def copy_from(spark: SparkSession, path: str, kind: str = "parquet", schema: str
     if kind == "csv":
         if schema is None:
             raise EngineError("CSV files have no types: give a schema")
-        return spark.read.options(**_CSV).schema(schema).csv(path)
+        return spark.read.options(**_CSV, emptyValue="").schema(schema).csv(path)
     return spark.read.parquet(path)
