@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -19,26 +21,40 @@ CHUNK_BYTES = 1 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder all machines share, from spark.checkpoint.dir; a local one where unset (tests)."""
+    """The folder all machines share, from spark.checkpoint.dir.  A folder of this machine only where this machine is all there is (tests)."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="emberframe-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Written tables that are still there, in the order they were written.
+_there: list[Written] = []
+
+
 class Written:
-    """A table in the shared folder.  It cuts lineage: a lost executor costs a re-read only."""
+    """A table in the shared folder.  It cuts lineage: a lost executor costs a re-read only.
+
+    What is not dropped before goes when the driver's Python ends.
+    """
 
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = f"{checkpoint_root(self.spark)}/emberframe/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        if not _there:
+            atexit.register(release)
+        _there.append(self)
 
     def drop(self) -> None:
         """Delete the files; only once nothing lazy still reads them."""
+        if self in _there:
+            _there.remove(self)
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -48,6 +64,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return Written(df, label).df
 
 
+def mark() -> int:
+    """A point for `release`."""
+    return len(_there)
+
+
+def release(since: int = 0, but: tuple = ()) -> None:
+    """Delete tables written since the mark, once all that reads them has been written itself."""
+    for table in _there[since:]:
+        if table not in but:
+            with contextlib.suppress(Exception):  # the session may have ended
+                table.drop()
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner remove shuffle files of frames that are no longer held."""
     gc.collect()
@@ -109,11 +138,12 @@ def chunks(batches, text: str = "text", limit: int = CHUNK_BYTES):
             at = to
 
 
-#: Rows of a few longs that may be broadcast: under 100 MB as a hash table.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes of what may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it has at most so many rows (counted here); else as it is, to be joined by a shuffle."""
-    n = df.limit(rows + 1).count()
-    return F.broadcast(df) if n <= rows else df
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size=None) -> DataFrame:
+    """Marked for broadcast if it has at most so many rows and, by the column `size`, BROADCAST_BYTES (both measured here); else as it is, to be joined by a shuffle."""
+    few = df.limit(rows + 1)
+    n, held = few.agg(F.count(F.lit(1)), F.coalesce(F.sum(size if size is not None else F.lit(0)), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= BROADCAST_BYTES else df

@@ -17,6 +17,8 @@ skipped, so components are exact.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +31,9 @@ from .kernels import U, mix, shingle_sets
 #: Hash buckets that hold shingle counts; the table that is broadcast has 4 bytes for each.
 BUCKETS = 1 << 20
 _PARTS = 64
+#: What words are made of; only A to Z have another case.
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def _ceil_div(a, b):
@@ -83,13 +88,13 @@ def bucket_counts(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def _signatures(texts: DataFrame, size: int, threshold: Threshold) -> DataFrame:
-    """Per document: id, n, a 128-bit fingerprint of its set, its prefix in order."""
+    """Per document: id, n, a 128-bit fingerprint of its set (two independent hashes of each shingle), its prefix in order."""
     counts = texts.sparkSession.sparkContext.broadcast(bucket_counts(texts, size))
 
     def run(batches):
         for batch, buf, offs in chunks(batches):
             rows = len(offs) - 1
-            owner, h = shingle_sets(buf, offs, size)
+            owner, h, other = shingle_sets(buf, offs, size, second=True)
             n = np.bincount(owner, minlength=rows)
             first = np.concatenate([[0], np.cumsum(n)])
 
@@ -102,36 +107,43 @@ def _signatures(texts: DataFrame, size: int, threshold: Threshold) -> DataFrame:
             place = np.arange(len(h)) - first[owner]
             chosen = place < keep[owner]
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]), pa.int32()), pa.array(h[order][chosen].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(total(mix(h + U(1)))), pa.array(total(mix(h ^ U(0xA5A5A5A5A5A5A5A5)))), prefix], names=["id", "n", "f1", "f2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(total(mix(h + U(1)))), pa.array(total(mix(other ^ U(0xA5A5A5A5A5A5A5A5)))), prefix], names=["id", "n", "f1", "f2", "prefix"])
 
     return texts.mapInArrow(run, "id long, n long, f1 long, f2 long, prefix array<long>")
 
 
-def _sets(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, its shingles' hashes in ascending order) for some documents."""
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, text) of some documents."""
+    return texts.join(bounded(nodes), texts.id == nodes.node, "left_semi")
 
-    def run(batches):
-        for batch, buf, offs in chunks(batches):
-            owner, h = shingle_sets(buf, offs, size)
-            at = np.searchsorted(owner, np.arange(len(offs)))
-            raw = h.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "set"])
 
-    some = texts.join(bounded(nodes), texts.id == nodes.node, "left_semi")
-    return some.mapInArrow(run, "id long, set binary")
+def _exact_sets(a: str, b: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of two texts as sorted numbers, alike only for the same words."""
+    known: dict[str, int] = {}
+    ids = [np.array([known.setdefault(m[0], len(known)) for m in _WORD.finditer(t.translate(_LOWER))], np.int64) for t in (a, b)]
+    base = len(known) + 1
+    k = [min(size, len(x)) for x in ids]
+    if k[0] != k[1]:  # a short text has a shingle of its own length
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code, n = np.zeros(sum(len(x) - k[0] + 1 for x in ids), np.int64), 1
+    for j in range(k[0]):
+        # numbers stay below the square of the texts' length
+        code = code * base + np.concatenate([x[j : len(x) - k[0] + 1 + j] for x in ids])
+        values, code = np.unique(code, return_inverse=True)
+    cut = len(ids[0]) - k[0] + 1
+    return np.unique(code[:cut]), np.unique(code[cut:])
 
 
-def verify(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
-    """Those of (a, b) that link, by exact overlap."""
+def verify(pairs: DataFrame, texts: DataFrame, threshold: Threshold, size: int) -> DataFrame:
+    """Those of (a, b) that link, by the exact overlap of their words' shingles."""
 
     def run(batches):
         for batch in batches:
             keep = []
-            xs, ys = batch.column("x"), batch.column("y")
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(xs[i].as_buffer(), U), np.frombuffer(ys[i].as_buffer(), U)
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                x, y = _exact_sets(x.as_py(), y.as_py(), size)
                 need = threshold.overlap(len(x) + len(y))
-                if min(len(x), len(y)) < need:
+                if not len(x) or min(len(x), len(y)) < need:
                     continue
                 # suffix filter: what lies between pivots cannot overlap more than the smaller count
                 pivots = x[len(x) // 8 :: max(1, len(x) // 8)]
@@ -142,11 +154,10 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 if int((y[at] == x).sum()) >= need:
                     keep.append(i)
-            got = batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-            yield got
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    left = sets.withColumnsRenamed({"id": "ida", "set": "x"})
-    right = sets.withColumnsRenamed({"id": "idb", "set": "y"})
+    left = texts.withColumnsRenamed({"id": "ida", "text": "x"})
+    right = texts.withColumnsRenamed({"id": "idb", "text": "y"})
     both = pairs.join(left, F.col("a") == F.col("ida")).select("a", "b", "x").join(right, F.col("b") == F.col("idb"))
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
@@ -166,8 +177,11 @@ def components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str =
     free_shuffles(spark)
 
     part = signed.where("n > 0 AND id IS NOT NULL")
-    classes = part.groupBy("f1", "f2", "n").agg(F.min("id").alias("node"))
-    member = Written(part.select("id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("id", "node"), "classes").df
+    #: Classes of several documents, written first: the join then has the hot side alone in its stage, where it can be split.
+    grouped = part.groupBy("f1", "f2", "n").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    grouped = Written(grouped.withColumnsRenamed({"f1": "g1", "f2": "g2", "n": "gn"}), "classes").df
+    same = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("gn"))
+    member = Written(part.select("id", "f1", "f2", "n").join(grouped, same, "left").select("id", F.coalesce("node", "id").alias("node")), "members").df
     nodes = member.where("id = node").select("node").distinct()
     postings = signatures.df.where("n > 0").join(nodes, F.col("id") == F.col("node"), "left_semi")
     postings = postings.select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "tok"))
@@ -194,9 +208,9 @@ def components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str =
     star = led.where((c("node") != c("top.node")) & near(c("n"), c("pos"), c("top.n"), c("top.pos")))
     star = Written(star.select(*ordered(c("node"), c("top.node"))).distinct(), "star").df
     involved = star.select(c("a").alias("node")).union(star.select(c("b").alias("node"))).distinct()
-    sets = Written(_sets(texts, involved, size), "sets").df
+    sets = Written(_texts_of(texts, involved), "sets").df
     free_shuffles(spark)
-    links = Written(verify(star, sets, limit), "links").df
+    links = Written(verify(star, sets, limit, size), "links").df
     labels = connected_components(links)
     free_shuffles(spark)
 
@@ -214,8 +228,8 @@ def components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str =
     free_shuffles(spark)
     more = cross.select(c("a").alias("node")).union(cross.select(c("b").alias("node"))).distinct()
     fresh = more.join(sets.select("id"), c("node") == c("id"), "left_anti")
-    wanted = sets.join(more, c("id") == c("node"), "left_semi").union(_sets(texts, fresh, size))
-    found = Written(verify(cross, wanted, limit), "links").df
+    wanted = sets.join(more, c("id") == c("node"), "left_semi").union(_texts_of(texts, fresh))
+    found = Written(verify(cross, wanted, limit, size), "links").df
     if found.take(1):
         labels = connected_components(links.union(found))
     #: A document is where its class is; the class of a linked node has the node's label.
@@ -228,6 +242,7 @@ def components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str =
 
 
 def ngram_jaccard(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id; nulls, repeated rows and empty tables as in `components`."""
     return components(docs, size, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 
 
