@@ -9,21 +9,24 @@ meet at an anchor; anchors are about 2 in 85 of all positions.  Consecutive
 windows with one anchor form its run, and the run's text is its context.
 
 *What repeats.*  Anchors whose GRAM bytes occur once (one partial-aggregated
-count) are left out.  Anchors with the same context form a class: all windows
+count) are left out.  Anchors with the same context (two independent 64-bit
+hashes: of the GRAM bytes and of the run's) form a class: all windows
 of the later ones repeat, and only the class's first anchor is looked at again,
 and only if its GRAM bytes have another class too.  This is where exact copies
 and long common passages end, at the cost of one row for each class and task.
 
 *Suffix array.*  For the rest, the suffixes at the anchors are dealt by sampled
-splitters over their leading bytes into ranges.  A splitter is compared by the
-first GRAM bytes, so suffixes that agree on them meet in one range and no class
-of equal windows lies across a boundary.  Each range sorts its suffixes, and
-the texts before them backwards, by multikey quicksort; from the common prefix
-lengths of neighbours follow the classes of equal windows for every split of
-LENGTH into what lies before and after the anchor.  The first window of each
-class stays, the others repeat.  GRAM strings with more than HOT classes would
-make one range large: their windows are spelled out and grouped as rows, with
-the same result.
+splitters over their leading bytes into ranges.  Each range sorts its suffixes,
+and the texts before them backwards, by multikey quicksort; from the common
+prefix lengths of neighbours follow the classes of equal windows for every split
+of LENGTH into what lies before and after the anchor.  The first window of each
+class stays, the others repeat.
+
+*Across boundaries.*  Suffixes that agree on a window's bytes can lie on both
+sides of a splitter only if they agree with the splitter on them, which the
+common prefix with the range's two ends tells.  Those windows, few of each
+range, go to a table of their own, where equal ones meet by their bytes.  So
+ranges are of like size however often a string occurs.
 """
 
 from __future__ import annotations
@@ -33,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, bounded, chunks, free_shuffles
-from .kernels import U, mix
+from .common import CHUNK_BYTES, Written, bounded, chunks, free_shuffles
+from .kernels import U, hash_ranges, mix
 
 LENGTH, GRAM = 100, 16
-#: Classes of one GRAM string that a range takes, and rows that a range should have.
-HOT, RANGE_ROWS = 20_000, 8_000
+#: Rows that a range should have, ranges at most (they grow beyond), and rows that splitters are taken from for each.
+RANGE_ROWS, RANGES, RANGE_SAMPLE = 8_000, 4_096, 16
 _WORD = 8
 
 
@@ -81,21 +84,36 @@ def _runs(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH):
     return h, anchor[first], window[first], window[last], doc[anchor[first]]
 
 
+def _pieces(buf: np.ndarray, offs: np.ndarray, length: int, limit: int = CHUNK_BYTES):
+    """_runs of all texts, a text over the limit in pieces that end where a run does; positions are those in buf."""
+    if len(offs) != 2 or len(buf) <= 2 * limit:
+        h, *rest = _runs(buf, offs, length)
+        yield h[rest[0]], *rest
+        return
+    at = 0
+    while True:
+        to = min(len(buf), at + limit + length)
+        h, anchor, lo, hi, doc = _runs(buf[at:to], np.array([0, to - at]), length)
+        n = len(anchor) if to == len(buf) else len(anchor) - 1  # the last run may go on
+        yield h[anchor[:n]], anchor[:n] + at, lo[:n] + at, hi[:n] + at, doc[:n]
+        if to == len(buf):
+            return
+        at += int(lo[n])
+
+
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
     """gram, context, key, place: of each anchor; place packs its position, the bytes before it in the run, and how far the last window starts before it."""
 
     def run(batches):
-        from .kernels import Rolling
-
         for batch, buf, offs in chunks(batches):
-            h, anchor, lo, hi, doc = _runs(buf, offs, length)
-            if not len(anchor):
-                continue
-            left, right = anchor - lo, anchor - hi
-            context = Rolling(buf).of(lo, hi + length) ^ mix((left << 8 | right).astype(U))
-            place = (anchor - offs[doc]) << 16 | left << 8 | right
-            key = batch.column("key").take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([pa.array(h[anchor].view(np.int64)), pa.array(context.view(np.int64)), key, pa.array(place)], names=["gram", "context", "key", "place"])
+            for gram, anchor, lo, hi, doc in _pieces(buf, offs, length):
+                if not len(anchor):
+                    continue
+                left, right = anchor - lo, anchor - hi
+                context = hash_ranges(buf, lo, hi + length) ^ mix((left << 8 | right).astype(U))
+                place = (anchor - offs[doc]) << 16 | left << 8 | right
+                key = batch.column("key").take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), key, pa.array(place)], names=["gram", "context", "key", "place"])
 
     return docs.select("key", "text").mapInArrow(run, "gram long, context long, key long, place long")
 
@@ -136,15 +154,15 @@ def _classes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[-1], lcp])
 
 
-def repeated_windows(before: list[bytes], after: list[bytes], least: np.ndarray, length: int = LENGTH):
+def repeated_windows(before: list[bytes], after: list[bytes], least: np.ndarray, length: int = LENGTH, most: np.ndarray | None = None):
     """(row, bytes before the anchor) of every window that another row, further up, has as well.
 
-    before, after: text of each row's run before and from its anchor on; least:
-    the fewest bytes before the anchor that a window of the row has.  Rows are in
-    the order of their places in the corpus.
+    before, after: text of each row's run before and from its anchor on; least,
+    most: the fewest and most bytes before the anchor that a window of the row
+    has.  Rows are in the order of their places in the corpus.
     """
     n = len(before)
-    most = np.array([len(b) for b in before])
+    most = np.array([len(b) for b in before]) if most is None else most
     back_order, back_lcp = _classes([b[::-1] for b in before], length)
     fore_order, fore_lcp = _classes(after, length)
     rows_out, split_out = [], []
@@ -177,39 +195,86 @@ def _merged(key: np.ndarray, start: np.ndarray, length: int):
     return key[first], start[first], start[last] + length
 
 
-_SPANS = "key long, lo long, hi long"
+_SPANS = "key long, lo long, hi long, window binary"
+
+
+def _spans(key, lo, hi, window=None) -> pa.RecordBatch:
+    window = pa.nulls(len(key), pa.binary()) if window is None else pa.array(window, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), window], names=["key", "lo", "hi", "window"])
+
+
+def _padded(texts: list[bytes], length: int) -> np.ndarray:
+    return np.array([t[:length] for t in texts], f"S{length}") if texts else np.zeros(0, f"S{length}")
+
 
+def _common(a: np.ndarray, b: bytes, length: int) -> np.ndarray:
+    """Length of the common prefix of each row with b, both padded."""
+    rows = np.frombuffer(a.tobytes(), np.uint8).reshape(len(a), length)
+    differ = rows != np.frombuffer(b.ljust(length, b"\0"), np.uint8)
+    return np.where(differ.any(1), differ.argmax(1), length)
 
-def _spans(key, lo, hi) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["key", "lo", "hi"])
+
+def _splitters(segments: DataFrame, length: int) -> list[bytes]:
+    """Suffixes between ranges, in order; RANGES * RANGE_SAMPLE rows are collected at most."""
+    n = min(segments.count() // RANGE_ROWS, RANGES)
+    if n < 1:
+        return []
+    rows = segments.select("after").orderBy(F.xxhash64("key", "anchor"), "after").limit((n + 1) * RANGE_SAMPLE).collect()
+    return np.unique(_padded(sorted(bytes(r["after"]) for r in rows)[RANGE_SAMPLE::RANGE_SAMPLE], length)).tolist()
 
 
 def _by_suffix_array(segments: DataFrame, length: int) -> DataFrame:
-    n = max(1, segments.count() // RANGE_ROWS)
-    ranged = segments.repartitionByRange(n, F.substring("after", 1, GRAM))
+    """Repeated windows that lie in one range, and with their bytes all windows that a splitter may cut."""
+    marks = _splitters(segments, length)
+    shared = segments.sparkSession.sparkContext.broadcast(marks)
+
+    def deal(batches):
+        marks = np.array(shared.value, f"S{length}")
+        for batch in batches:
+            at = np.searchsorted(marks, _padded(batch.column("after").to_pylist(), length), side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns], names=["range", *batch.schema.names])
+
+    kinds = "key long, anchor long, least long, before binary, after binary"
+    ranged = segments.select("key", "anchor", "least", "before", "after").mapInArrow(deal, f"range int, {kinds}").repartition(len(marks) + 1, "range")
 
     def run(batches):
+        marks = shared.value
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        t = pa.Table.from_batches(parts).sort_by([("key", "ascending"), ("anchor", "ascending")])
-        rows, split = repeated_windows(t["before"].to_pylist(), t["after"].to_pylist(), t["least"].to_numpy(), length)
-        if len(rows):
-            yield _spans(*_merged(t["key"].to_numpy()[rows], t["anchor"].to_numpy()[rows] - split, length))
-
-    return ranged.select("key", "anchor", "least", "before", "after").mapInArrow(run, _SPANS)
-
-
-def _by_windows(segments: DataFrame, length: int) -> DataFrame:
-    """The same for anchors of hot GRAM strings: every window a row."""
+        t = pa.Table.from_batches(parts).sort_by([("range", "ascending"), ("key", "ascending"), ("anchor", "ascending")])
+        ranges = t["range"].to_numpy()
+        for which in np.unique(ranges):
+            own = t.slice(int(np.searchsorted(ranges, which)), int((ranges == which).sum()))
+            key, anchor, least = (own[c].to_numpy() for c in ("key", "anchor", "least"))
+            before, after = own["before"].to_pylist(), own["after"].to_pylist()
+            rows = _padded(after, length)
+            cut = np.zeros(len(rows), np.int64)
+            for m in marks[max(0, which - 1) : which + 1]:  # the range's two ends
+                cut = np.maximum(cut, _common(rows, m, length))
+            most = np.array([len(b) for b in before])
+            inner = np.minimum(most, length - cut - 1)  # windows of more bytes after the anchor than are common with an end
+            again, split = repeated_windows(before, after, least, length, inner)
+            if len(again):
+                yield _spans(*_merged(key[again], anchor[again] - split, length))
+            lo = np.maximum(inner + 1, least)
+            n = np.maximum(most - lo + 1, 0)
+            for i in range(0, len(n), 512):
+                who = np.repeat(np.arange(i, min(i + 512, len(n))), n[i : i + 512])
+                if len(who):
+                    split = lo[who] + np.arange(len(who)) - np.repeat(np.cumsum(n[i : i + 512]) - n[i : i + 512], n[i : i + 512])
+                    text = [before[w][len(before[w]) - s :] + after[w][: length - s] for w, s in zip(who.tolist(), split.tolist(), strict=True)]
+                    yield _spans(key[who], anchor[who] - split, anchor[who] - split + length, text)
+
+    return ranged.mapInArrow(run, _SPANS)
+
+
+def _at_boundaries(rows: DataFrame) -> DataFrame:
+    """Of equal windows all but the first."""
     c = F.col
-    whole = F.concat("before", "after")
-    rows = segments.select("key", "anchor", whole.alias("run"), F.length("before").alias("most"), F.explode(F.sequence(c("least"), F.length("before").cast("long"))).alias("split"))
-    rows = rows.select("key", (c("anchor") - c("split")).alias("start"), c("run").substr((c("most") - c("split") + 1).cast("int"), F.lit(length)).alias("window"))
-    first = rows.groupBy("window").agg(F.min(F.struct("key", "start")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    first = first.select(c("window").alias("fw"), "first")
-    again = rows.join(first, c("window") == c("fw")).where((c("key") != c("first.key")) | (c("start") != c("first.start")))
-    return again.select("key", c("start").alias("lo"), (c("start") + length).alias("hi"))
+    first = rows.groupBy("window").agg(F.min(F.struct("key", "lo")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    first = Written(first.select(c("window").alias("fw"), "first"), "first-windows").df
+    return rows.join(first, c("window") == c("fw")).where((c("key") != c("first.key")) | (c("lo") != c("first.lo"))).select("key", "lo", "hi")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -230,9 +295,14 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
         return spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     anchors = _anchors(keyed, length)
+    #: Written before it is joined, here and below: the join's stage then has no aggregate in it, and its hot keys can be split.
     twice = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(c("gram").alias("g"))
+    twice_table = Written(twice, "grams")
+    twice = twice_table.df
+    free_shuffles(spark)
     anchor_table = Written(anchors.join(twice, c("gram") == c("g"), "left_semi"), "anchors")
     shared = anchor_table.df
+    twice_table.drop()
     free_shuffles(spark)
 
     first = shared.groupBy("gram", "context").agg(F.min(F.struct("key", "place")).alias("first"), F.count(F.lit(1)).alias("c"))
@@ -247,10 +317,11 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     free_shuffles(spark)
 
     #: First anchors of GRAM strings with several classes, with the text of their runs.
-    many = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(c("gram").alias("g"), (c("n") > HOT).alias("hot"))
-    open_ = classes.join(many, c("gram") == c("g")).select(c("first.key").alias("okey"), F.struct(c("first.place").alias("place"), "hot").alias("at"))
+    many_table = Written(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(c("gram").alias("g")), "open-grams")
+    open_ = classes.join(many_table.df, c("gram") == c("g")).select(c("first.key").alias("okey"), c("first.place").alias("at"))
     open_ = Written(open_.groupBy("okey").agg(F.collect_list("at").alias("at")), "open").df
     class_table.drop()
+    many_table.drop()
     free_shuffles(spark)
 
     def cut(batches):
@@ -258,28 +329,30 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
             out = []
             for key, text, at in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("at").to_pylist(), strict=True):
                 raw = text.as_py().encode()
-                for one in at:
-                    place = one["place"]
+                for place in at:
                     a, lt, rt = place >> 16, place >> 8 & 255, place & 255
-                    out.append((key, a, rt, raw[a - lt : a], raw[a : a - rt + length], one["hot"]))
+                    out.append((key, a, rt, raw[a - lt : a], raw[a : a - rt + length]))
                 if len(out) > 20_000:
                     yield _segments(out)
                     out = []
             yield _segments(out)
 
     def _segments(rows):
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["key", "anchor", "least", "before", "after", "hot"])
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["key", "anchor", "least", "before", "after"])
 
-    held = keyed.select("key", "text").join(bounded(open_, 20_000), c("key") == c("okey")).select("key", "text", "at")
-    segment_table = Written(held.mapInArrow(cut, "key long, anchor long, least long, before binary, after binary, hot boolean"), "segments")
+    held = keyed.select("key", "text").join(bounded(open_, 200_000, F.size("at") * 8 + 32), c("key") == c("okey")).select("key", "text", "at")
+    segment_table = Written(held.mapInArrow(cut, "key long, anchor long, least long, before binary, after binary"), "segments")
     segments = segment_table.df
     free_shuffles(spark)
-    near = _by_suffix_array(segments.where("NOT hot"), length).unionByName(_by_windows(segments.where("hot"), length))
-    near = Written(by_key(near), "windows").df
+    ranged = Written(_by_suffix_array(segments, length), "ranges")
     segment_table.drop()
     free_shuffles(spark)
+    inner = ranged.df.where("window IS NULL").select("key", "lo", "hi")
+    near = Written(by_key(inner.unionByName(_at_boundaries(ranged.df.where("window IS NOT NULL")))), "windows").df
+    ranged.drop()
+    free_shuffles(spark)
     return copies.unionByName(near).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 

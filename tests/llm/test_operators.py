@@ -116,17 +116,41 @@ def brute_spans(texts, n=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 0])
-def test_substrings(spark, texts, monkeypatch, hot):
-    monkeypatch.setattr(substrings, "HOT", hot)
-    want = brute_spans(texts)
-    for r in substrings.remove_repeats(docs_of(spark, texts)).collect():
+@pytest.mark.parametrize("rows", [8_000, 3])
+def test_substrings(spark, texts, monkeypatch, rows):
+    """With few rows a range, most windows lie across boundaries."""
+    monkeypatch.setattr(substrings, "RANGE_ROWS", rows)
+    r = random.Random(8)
+    passage, often = ("".join(r.choice("abc ") for _ in range(n)) for n in (150, 60))
+    more = [*texts, *("".join(r.choice("uvw") for _ in range(r.randint(0, 90))) + often + passage[r.randint(0, 20) :] + str(i) * 70 for i in range(40))]
+    want = brute_spans(more)
+    for r in substrings.remove_repeats(docs_of(spark, more)).collect():
         assert bytes(r["kept"]) == want[r["doc_id"]]
     assert substrings.dedup_substrings(docs_of(spark, [])).count() == 0
     one_id = docs_of(spark, ["q w e r t y " * 20] * 2).withColumn("doc_id", common.F.lit(1).cast("bigint"))
     assert sorted(r["n_removed"] for r in substrings.dedup_substrings(one_id).collect())[1] == 240
 
 
+def test_substrings_of_long_texts():
+    r = random.Random(9)
+    text = substrings.np.frombuffer(bytes(r.choice(b"abcdefgh \n") for _ in range(60_000)), substrings.np.uint8)
+    offs = substrings.np.array([0, len(text)])
+    whole = [x.tolist() for x in list(substrings._pieces(text, offs, 100))[0]]
+    parts = list(substrings._pieces(text, offs, 100, limit=3_000))
+    assert len(parts) > 15 and [substrings.np.concatenate(x).tolist() for x in zip(*parts, strict=True)] == whole
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_structured_words_do_not_collide(spark):
+    for n in (1024, 2048, 4096):
+        a = thue_morse(n)
+        pair = [a, a.translate({97: "b", 98: "a"})]
+        assert [r["component_id"] for r in ngram_join.ngram_jaccard(docs_of(spark, pair)).orderBy("doc_id").collect()] == [0, 1]
+
+
 def test_decontamination(spark):
     item = "one two three four five six seven eight nine ten eleven"
     items = spark.createDataFrame([(1, item), (2, "short item"), (3, None), (1, item)], "item_id bigint, text string")
