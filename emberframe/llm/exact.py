@@ -1,14 +1,19 @@
 """Exact dedup by distributed most-significant-digit radix partitioning.
 
-Documents are split by length and then by successive runs of their bytes (the
-digits).  A group that holds one document is done; so is a group whose texts
-have ended.  The bytes themselves are compared: no digest decides equality.
-
-Each level is one partial-aggregated count by (group, digit) and one equi-join
-back.  The count collapses a hot group to one row a task before it is shuffled;
-the join is a plain sort-merge join, whose skewed side the adaptive planner can
-split.  Digits grow by a factor, so a text of b bytes takes O(log b) levels, and
-after the first level only documents that share their length and head are left.
+Documents are split by successive runs of their bytes, the digits, most
+significant first: a group is the documents that agree on all digits so far, and
+each level splits every group by the next digit and by whether the text ends in
+it.  A group of one document is done, and so is one whose texts have ended.  The
+bytes themselves are compared: no digest decides equality, and neither does a
+text's length.
+
+Each level is one partial-aggregated count by (group, digit), written as the
+table of groups, and one equi-join of the documents to it.  The count collapses
+a hot group to one row a task before it is shuffled; the join has no aggregate in
+its stage, so that the adaptive planner can split a hot group's documents.
+Digits grow by a factor, so a text of b bytes takes O(log b) levels; a document
+goes on only while another one shares all its bytes so far, and takes along only
+the bytes that are still to be compared.
 """
 
 from __future__ import annotations
@@ -19,11 +24,16 @@ from pyspark.sql import functions as F
 from .common import Written, free_shuffles
 
 #: Bytes of the first digit, and how much longer each next one is.
-FIRST_DIGIT, DIGIT_GROWTH = 64, 64
+FIRST_DIGIT, DIGIT_GROWTH = 32, 16
 
 
-def _digit(body: Column, start: int, width: int) -> Column:
-    return F.substring(body, start + 1, width)
+def _digits(rows: DataFrame, width: int) -> DataFrame:
+    """digit, and whether the text ends in it."""
+    return rows.withColumns({"digit": F.substring("rest", 1, width), "ends": F.octet_length("rest") <= width})
+
+
+def _after(width: int) -> Column:
+    return F.expr(f"substring(rest, {width + 1})")
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry_text: bool = False) -> DataFrame:
@@ -33,74 +43,64 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     rows that tie on the id too (repeated rows), exactly one stays; a null id
     is smaller than any other.  An empty table gives no rows.  Without
     `carry_text`, row holds the id alone, so texts are not written again.
+    A text may be as long as a row can be: all its bytes are compared.
     """
-    spark = docs.sparkSession
+    spark, c = docs.sparkSession, F.col
+    row = F.struct(*[docs[x] for x in docs.columns]) if carry_text else F.struct(docs[id_col])
     body = F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary")
-    row = F.struct(*[docs[c] for c in docs.columns]) if carry_text else F.struct(docs[id_col])
-    base = docs.select(
-        row.alias("row"),
-        docs[id_col].cast("long").alias("id"),
-        *([] if carry_text else [body.alias("body")]),
-        F.octet_length(body).alias("bytes"),
-        _digit(body, 0, FIRST_DIGIT).alias("digit"),
-    )
     if carry_text:  # the row has the text already: shuffle it once
-        body = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")).cast("binary")
+        base = docs.select(row.alias("row"), docs[id_col].cast("long").alias("id"))
+        rest = F.coalesce(c("row").getField(text_col).cast("string"), F.lit("")).cast("binary")
     else:
-        body = F.col("body")
-    heads = base.groupBy("bytes", "digit").agg(F.count(F.lit(1)).alias("n"))
-    joined = base.join(heads.withColumnsRenamed({"bytes": "hb", "digit": "hd"}), (F.col("bytes") == F.col("hb")) & (F.col("digit") == F.col("hd")))
-    open_ = (F.col("n") > 1) & (F.col("bytes") > FIRST_DIGIT)
-    first = Written(
-        joined.select(
-            #: Written with its row: how files are split when they are read depends on the cores there are then.
-            F.monotonically_increasing_id().alias("uid"),
-            "row", "id", "bytes", "n",
-            F.sha2(body, 256).alias("sha"),
-            F.when(F.col("n") > 1, F.col("digit")).alias("head"),
-            F.when(open_, body).alias("body"),
-        ),
-        "radix-head",
-    ).df
+        base, rest = docs.select(row.alias("row"), docs[id_col].cast("long").alias("id"), body.alias("rest")), c("rest")
+    heads = _digits(docs.select(body.alias("rest")), FIRST_DIGIT).groupBy("digit", "ends").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = Written(heads.select(c("digit").alias("hd"), c("ends").alias("he"), F.monotonically_increasing_id().alias("g")), "radix-heads")
+    first = base.withColumns({"digit": F.substring(rest, 1, FIRST_DIGIT), "ends": F.octet_length(rest) <= FIRST_DIGIT})
+    first = first.join(heads.df, (c("digit") == c("hd")) & (c("ends") == c("he")), "left")
+    first = first.select(
+        #: Written with its row: how files are split when they are read depends on the cores there are then.
+        F.monotonically_increasing_id().alias("uid"),
+        "row", "id", "g",
+        F.sha2(rest, 256).alias("sha"),
+        F.when(c("g").isNotNull(), F.substring(rest, FIRST_DIGIT + 1, 2**31 - 1)).alias("rest"),
+    )
+    first = Written(first, "radix-rows").df
+    heads.drop()
     free_shuffles(spark)
-    alone = first.where("n = 1").select("uid", F.struct("id", "uid").alias("keep"), F.lit(1).cast("long").alias("size"))
-    shared = first.where("n > 1")
-    top = F.max(F.struct("id", "uid"))
-    level = shared.groupBy("bytes", "head").agg(top.alias("keep"), F.count(F.lit(1)).alias("size"))
-    level = level.withColumnsRenamed({"bytes": "hb", "head": "hd"})
-    grouped = shared.join(level, (F.col("bytes") == F.col("hb")) & (F.col("head") == F.col("hd")))
-    done = [alone, grouped.where(F.col("bytes") <= FIRST_DIGIT).select("uid", "keep", "size")]
-
-    active = grouped.where(F.col("bytes") > FIRST_DIGIT).select("uid", "id", "bytes", "body", F.col("keep.uid").alias("g"))
-    longest = first.agg(F.max(F.when(open_, F.col("bytes")))).first()[0] or 0
-    at, width = FIRST_DIGIT, FIRST_DIGIT * DIGIT_GROWTH
-    while at < longest:
-        active = active.withColumn("digit", _digit(F.col("body"), at, width))
-        split = active.groupBy("g", "digit").agg(top.alias("keep"), F.count(F.lit(1)).alias("size"))
-        split = split.withColumnsRenamed({"g": "hg", "digit": "hd"})
-        after = active.join(split, (F.col("g") == F.col("hg")) & (F.col("digit") == F.col("hd")))
-        at, width = at + width, width * DIGIT_GROWTH
-        last = at >= longest
-        table = Written(
-            after.select("uid", "id", "bytes", "keep", "size", *([] if last else [F.when((F.col("size") > 1) & (F.col("bytes") > at), F.col("body")).alias("body")])),
-            "radix-level",
-        ).df
+
+    level: Written | None = None
+    active = first.where("g IS NOT NULL").select("uid", "id", "g", "rest")
+    done: list[DataFrame] = []
+    width = FIRST_DIGIT * DIGIT_GROWTH
+    while active.take(1):
+        active = _digits(active, width)
+        top = F.max(F.struct("id", "uid"))
+        groups = active.groupBy("g", "digit", "ends").agg(top.alias("keep"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        groups = Written(groups.withColumnsRenamed({"g": "hg", "digit": "hd", "ends": "he"}), "radix-groups")
+        same = (c("g") == c("hg")) & (c("digit") == c("hd")) & (c("ends") == c("he"))
+        several = active.join(groups.df, same).select(
+            "uid", "id", "keep", "size", "ends", F.when(~c("ends"), F.substring("rest", width + 1, 2**31 - 1)).alias("rest")
+        )
+        after = Written(several, "radix-level")
+        groups.drop()
+        if level is not None:
+            level.drop()
         free_shuffles(spark)
-        ended = (F.col("size") == 1) | (F.col("bytes") <= at)
-        done.append(table.where(ended).select("uid", "keep", "size"))
-        if not last:
-            active = table.where(~ended).select("uid", "id", "bytes", "body", F.col("keep.uid").alias("g"))
-    found = done[0]
-    for part in done[1:]:
-        found = found.unionByName(part)
-    found = found.withColumnsRenamed({"uid": "fu"})
-    return first.join(found, F.col("uid") == F.col("fu")).select(
-        "row",
-        F.col("keep.id").alias("keep_id"),
-        F.col("size").alias("group_size"),
-        (F.col("keep.uid") == F.col("uid")).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-    )
+        done.append(Written(after.df.where("ends").select("uid", "keep", "size"), "radix-done").df)
+        level, width = after, width * DIGIT_GROWTH
+        active = after.df.where("NOT ends").select("uid", "id", c("keep.uid").alias("g"), "rest")
+    if level is not None:
+        level.drop()
+    own = F.struct("id", "uid")
+    if not done:
+        out = first.withColumns({"keep": own, "size": F.lit(1).cast("long")})
+    else:
+        found = done[0]
+        for part in done[1:]:
+            found = found.unionByName(part)
+        out = first.join(found.withColumnRenamed("uid", "fu"), c("uid") == c("fu"), "left")
+        out = out.withColumns({"keep": F.coalesce("keep", own), "size": F.coalesce("size", F.lit(1).cast("long"))})
+    return out.select("row", c("keep.id").alias("keep_id"), c("size").alias("group_size"), (c("keep.uid") == c("uid")).alias("kept"), c("sha").alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
