@@ -82,8 +82,22 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", shards: list[str] |
     return out.select(F.col("row.id").alias("doc_id"), "slot", "shard_no", "shard")
 
 
-def write_shards(docs: DataFrame, path: str, key_col: str = "doc_id", shards: list[str] | None = None, size: int = TABLE_SIZE) -> None:
-    """Write the documents as Parquet, a folder shard=... for each shard, with the input's columns."""
-    out = place(docs, key_col, shards, size)
-    rows = out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "shard"], "shard")
-    rows.repartition("shard", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "shard"]), F.lit(8))).write.partitionBy("shard").parquet(path)
+def shard_column(columns: list[str]) -> str:
+    """The name of the folders' column: shard, or with as many underlines as no input column has."""
+    name = "shard"
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def write_shards(docs: DataFrame, path: str, key_col: str = "doc_id", shards: list[str] | None = None, size: int = TABLE_SIZE, splits: int = 8) -> str:
+    """Write the documents as Parquet with all the input's columns, a folder for each shard; the name of the folders' column.
+
+    One shuffle.  A shard's rows are dealt to `splits` tasks by their content, so
+    none holds a whole shard; equal rows (repeats) are placed alike, nulls
+    count as the key ''.  An empty table writes no folder.
+    """
+    out, name = place(docs, key_col, shards, size), shard_column(docs.columns)
+    rows = out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("shard").alias(name))
+    rows.repartition(F.col(name), F.pmod(F.xxhash64(*[rows[c] for c in docs.columns]), F.lit(splits))).write.partitionBy(name).parquet(path)
+    return name
