@@ -14,6 +14,7 @@ template can reach that number of shared bigrams without one.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from functools import lru_cache
 from pathlib import Path
@@ -211,7 +212,7 @@ class Scanner:
         return top, stop
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(licence, Dice, first and last character) of the best span of each licence."""
+        """(licence, Dice, first and last character) of every span that is no worse than those it overlaps."""
         low = text.lower()
         if not any(m in low for m in self.markers):
             return []
@@ -223,22 +224,28 @@ class Scanner:
         for i, pair in enumerate(pairs):
             for t in self.of.get(pair, ()):
                 hits[t].append(i)
-        best: dict[str, tuple[float, int, int]] = {}
+        found: list[tuple[float, int, int, str]] = []
         for t, at in sorted(hits.items()):
             name, grams, need, _ = self.templates[t]
             if len(at) < need or len({pairs[i] for i in at}) < need:
                 continue
+            whole = -1  # where the last exact copy ends: none that begins in it can be closer
             for lo in range(len(at) - need + 1):
+                if at[lo] <= whole:
+                    continue
                 score, stop = self._best_end(t, pairs, at[lo], at[-1])
-                if score >= self.t and (name not in best or score > best[name][0]):
-                    best[name] = (score, spans[at[lo]][1], spans[stop + 1][2])
-                if best.get(name, (0,))[0] == 1:  # no later span can be closer
-                    break
-        chosen: list[tuple[str, float, int, int]] = []
-        for name, (score, a, b) in sorted(best.items(), key=lambda x: (-x[1][0], x[1][1] - x[1][2], x[0])):
-            if all(b <= c or d <= a for _, _, c, d in chosen):  # of licences that claim the same words, the closest
-                chosen.append((name, score, a, b))
-        return sorted(chosen)
+                if score >= self.t:
+                    found.append((score, spans[at[lo]][1], spans[stop + 1][2], name))
+                if score == 1:
+                    whole = stop
+        starts: list[int] = []  # of the chosen, in order; they do not overlap
+        chosen: dict[int, tuple[str, float, int, int]] = {}
+        for score, a, b, name in sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):  # of spans that claim the same words, the closest
+            i = bisect_left(starts, a)
+            if (not i or chosen[starts[i - 1]][3] <= a) and (i == len(starts) or b <= starts[i]):
+                starts.insert(i, a)
+                chosen[a] = (name, score, a, b)
+        return [chosen[a] for a in starts]
 
 
 @lru_cache(maxsize=2)
@@ -247,11 +254,12 @@ def _scanner(templates: tuple, threshold: float) -> Scanner:
 
 
 def scan_licences(docs: DataFrame, templates=None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document and licence found in it: doc_id, licence, dice, start, end, span.
+    """A row for each licence text found in a document: doc_id, licence, dice, start, end, span.
 
-    start and end are character offsets in the whole text.  Of a licence's spans
-    the best counts, of equal ones the first; of licences whose spans overlap the
-    one with the highest coefficient.  Null and empty texts, and an empty
+    start and end are character offsets in the whole text.  A licence that stands
+    in a document several times has a row each time; of spans that overlap, the
+    one with the highest coefficient counts, of equal ones the longest, then the
+    first.  Null and empty texts, and an empty
     table, give no rows; repeated rows give theirs each.
     """
     chosen = tuple(templates or default_templates())

@@ -41,6 +41,17 @@ def test_exact(spark, texts):
     assert exact.exact_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_exact_of_long_texts(spark):
+    """Texts that agree for long, end where a digit ends, or begin with one another."""
+    edges = [n + d for n in (32, 32 + 512, 32 + 512 + 8192) for d in (-1, 0, 1)]
+    rows = [("a" * n)[: n - 1] + e for n in edges for e in ("a", "b", "a")] + ["", None, "é" * 20_000, "é" * 20_000, "é" * 20_000 + "x", "z" * 2_000_000, "z" * 2_000_000]
+    got = {r["doc_id"]: r for r in exact.exact_dedup(docs_of(spark, rows)).collect()}
+    for i, t in enumerate(rows):
+        same = [j for j, u in enumerate(rows) if (u or "") == (t or "")]
+        assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (max(same), len(same), i == max(same))
+    assert exact.drop_copies(docs_of(spark, rows)).count() == len({t or "" for t in rows})
+
+
 def test_exact_under_other_splits(spark):
     """What is lazy may be read by other numbers of tasks than what was written before."""
     rows = ["x" * 200 + str(i % 7) for i in range(60)]
@@ -67,6 +78,39 @@ def test_sharding(spark, texts):
         sharding.fill_table(["a"], 100)
 
 
+def brute_table(shards, size):
+    """Shards take turns by whole lists of preference."""
+    lists = []
+    for s in shards:
+        d = hashlib.sha256(s.encode()).digest()
+        offset, skip = int.from_bytes(d[:8], "big") % size, int.from_bytes(d[8:16], "big") % (size - 1) + 1
+        lists.append([(offset + j * skip) % size for j in range(size)])
+    owner: dict = {}
+    while len(owner) < size:
+        for i, order in enumerate(lists):
+            if len(owner) < size:
+                owner[next(x for x in order if x not in owner)] = i
+    return [owner[i] for i in range(size)]
+
+
+def test_shards_by_brute_force(spark, tmp_path):
+    shards, size = ["x", "y", "z", "w"], 211
+    table = brute_table(shards, size)
+    assert sharding.fill_table(shards, size) == table
+    schema = "doc_id bigint, text string, shard string, SHARD_ string, slot int"
+    rows = [(i, f"t{i}", "mine", "too", 5) for i in range(300)] + [(None, "n", "mine", None, None)] * 2 + [(7, "t7", "mine", "too", 5)]
+    docs = spark.createDataFrame(rows, schema)
+    want = {i: table[int(hashlib.md5(str("" if i is None else i).encode()).hexdigest()[:15], 16) % size] for i in [*range(300), None]}
+    got = sharding.shard_documents(docs, shards=shards, size=size).collect()
+    assert len(got) == len(rows) and all((r["shard_no"], r["shard"]) == (want[r["doc_id"]], shards[want[r["doc_id"]]]) for r in got)
+    name = sharding.write_shards(docs, f"{tmp_path}/out", shards=shards, size=size)
+    back = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert name == "shard__" and sorted(map(str, (tuple(r[:5]) for r in back))) == sorted(map(str, rows))
+    assert all(r[name] == shards[want[r["doc_id"]]] for r in back)
+    assert sharding.shard_documents(docs.where("false"), shards=shards, size=size).count() == 0
+    sharding.write_shards(docs.where("false"), f"{tmp_path}/none")
+
+
 def test_bpe(spark, texts):
     from tokenizers import Tokenizer
 
@@ -167,6 +211,18 @@ def test_licences(spark):
     assert got == [(0, "MIT", True), (4, "MIT", False)]
 
 
+def test_every_licence_text(spark):
+    mit, isc = licences.TEXTS["MIT"], licences.TEXTS["ISC"]
+    rows = [f"a\n{mit}\nb c d\n{isc}\nmore words\n{mit}", None, mit + " " + mit, f"{mit}"]
+    extra = docs_of(spark, [*rows, rows[0]]).withColumnsRenamed({"key": "licence", "lang": "start"})
+    got = {}
+    for r in licences.scan_licences(extra).collect():
+        assert rows[r["doc_id"] % 4][r["start"] : r["end"]] == r["span"]
+        got.setdefault(r["doc_id"], []).append(r["licence"])
+    assert {k: sorted(v) for k, v in got.items()} == {0: ["ISC", "MIT", "MIT"], 2: ["MIT", "MIT"], 3: ["MIT"], 4: ["ISC", "MIT", "MIT"]}
+    assert licences.scan_licences(docs_of(spark, [])).count() == 0
+
+
 def test_licences_with_inserted_words():
     mit = " ".join(licences.TEXTS["MIT"].split())
     words = mit.split()
