@@ -1,143 +1,401 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney n-gram model.
-
-The model is of characters, of order 4, over an alphabet of 48 classes, and is
-counted over every whole text that is trusted.  Counts live in DataFrames
-sharded by n-gram; each order's probabilities come from equi-joins of the shards
-with their contexts' totals and with the order below.  Word n-grams would make
-tables that grow with the corpus and lookups that outweigh it; over a fixed
-alphabet the joined table has a proven bound, 48 ** 4 cells, so documents are
-scored where they are read, without a shuffle.
-
-A document is rejected when its perplexity is over a quantile of the trusted
-documents of its own language.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of words.
+
+The model is of word pairs (order 2; words are split at white space, and every
+text is closed in one mark) and is counted over every whole trusted text.  With
+c(v, w) the count of a pair, N(w) in how many contexts w goes on to the left, and
+D(c) the discount of a count,
+
+    P(w | v) = (c(v, w) - D(c)) / c(v) + gamma(v) / c(v) * Q(w),
+    Q(w) = (N(w) - D'(N)) / N + gamma' / N / (types + 1),
+
+where gamma adds up the discounts.  So log P(w | v) is the sum of
+
+    log gamma(v) / c(v), whatever follows v, and
+    log (x(v, w) + Q(w)) with x = (c(v, w) - D(c)) / gamma(v), 0 for unseen pairs.
+
+Tables grow with the corpus, so they are sharded by word and never broadcast or
+collected.  Trusted pairs, pre-aggregated by task, meet by their context v,
+which gives gamma(v); pairs with x then meet by w, which gives N(w).  Every
+document's pairs go to the shard of w, meet the model's shard there, and come
+back as one number a document and shard; their sum is the document's
+log-probability.  A mark is a word like others, and what a word adds as a
+context is added where it is predicted, as every word and mark of a closed text
+is both once.
+
+What is shuffled are blocks: columns of a task's pairs for one shard, sorted and
+compressed.  A word that is a large share of all words (HEAVY; the list is
+bounded by the share) has its pairs dealt over all shards by context, with its
+own numbers known to all of them.
+
+Documents go through in PASSES parts, so that what lies on disk at once is a
+part of it; each row is scored once.
+
+A document is rejected when its perplexity is over a quantile of trusted
+documents of its language.  Those are kept out of the counts: a document that
+was counted itself is no measure for one that was not.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, written
+from .common import Written, bounded, chunks, free_shuffles
+from .kernels import U, mix, word_hashes
 
-ORDER = 4
-#: Share of the trusted documents of a language that the threshold lets pass, and how many it takes to set one of its own.
+#: Share of the held-out trusted documents of a language that the threshold lets pass, and how many it takes to set one of its own.
 QUANTILE, LEAST_TRUSTED = 0.99, 30
+#: One trusted document in so many is kept out of the counts, for the thresholds.
+HELD_OUT = 5
+#: Words that a block is made of; counted words, and bytes of scored text, for each shard.
+BLOCK_WORDS, SHARD_WORDS, SHARD_BYTES = 2_000_000, 1_000_000, 32 << 20
+PASSES = 3
+#: A word is heavy if it is one word in so many or more.
+HEAVY = 256
+#: The mark that closes a text.
+MARK = 0x6D61726B
 
 
-def _alphabet() -> np.ndarray:
-    """Byte -> class (fixed values): 0 line end, 1 blank, 2 other control, 3 digit, 4 upper case, 5 to 30 a to z,
-    31 to 39 marks, 40 to 47 bytes of other letters."""
-    t = np.full(256, 2, np.int64)
-    t[10], t[[9, 32]] = 0, 1
-    t[48:58] = 3
-    t[65:91] = 4
-    t[97:123] = np.arange(5, 31)
-    for k, marks in enumerate((".", ",", "'\"", "-_", "!?", ":;", "()[]{}<>", "|/\\", "@#$%^&*+=~`")):
-        t[[ord(m) for m in marks]] = 31 + k
-    t[128:] = 40 + np.arange(128) % 8
-    return t
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length; bytes of like weight stand together.  The first is sorted and kept as differences."""
+    first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in (first, *columns[1:])]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-CLASSES = 48
-_CLASS = _alphabet()
+def _unpack(raw: bytes, n: int, *kinds) -> list[np.ndarray]:
+    data, at, out = zstandard.ZstdDecompressor().decompress(raw, max_output_size=n * sum(np.dtype(k).itemsize for k in kinds)), 0, []
+    for kind in kinds:
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += n * width
+    out[0] = np.cumsum(out[0], dtype=out[0].dtype)
+    return out
 
 
-def _codes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each byte, line ends before a text's start, and each byte's text."""
-    per = np.diff(offs)
-    pad = ORDER - 1
-    at = np.arange(len(buf)) + pad * np.repeat(np.arange(1, len(per) + 1), per)
-    c = np.zeros(len(buf) + pad * len(per), np.int64)
-    c[at] = _CLASS[buf]
-    code = np.zeros(len(buf), np.int64)
-    for back in range(pad, -1, -1):
-        code = code * CLASSES + c[at - back]
-    return code, np.repeat(np.arange(len(per)), per)
+def _among(word: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    if not len(heavy):
+        return np.zeros(len(word), bool)
+    return heavy[np.minimum(np.searchsorted(heavy, word), len(heavy) - 1)] == word
 
 
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """(gram, n) of order ORDER over every whole text."""
+def _shard_of(word: np.ndarray, other: np.ndarray, shards: int, heavy: np.ndarray) -> np.ndarray:
+    """A word's shard; a heavy one's pairs are dealt by their other word."""
+    by = np.where(_among(word, heavy), mix(word ^ other), word)
+    return (mix(by) >> U(33)).astype(np.int64) % shards
 
-    def run(batches):
-        total = np.zeros(CLASSES**ORDER, np.int32)
-        for _, buf, offs in chunks(batches):
-            code, _ = _codes(buf, offs)
-            got, n = np.unique(code, return_counts=True)
-            total[got] += n.astype(np.int32)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["gram", "n"])
 
-    return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def _pairs(batches):
+    """(context, word, text number) of all pairs of closed texts, about BLOCK_WORDS at once, and the rows that end there."""
+    held, rows = [], []
+    size, texts = 0, 0
+    for batch, buf, offs in chunks(batches):
+        h, per = word_hashes(buf, offs, lower=False)
+        ends = np.cumsum(per)
+        word = np.insert(h, ends, U(MARK))  # a mark after each text
+        n = per + 1
+        context = np.empty_like(word)
+        context[1:] = word[:-1]
+        context[np.cumsum(n) - n] = U(MARK)
+        held.append((context, word, np.repeat(np.arange(texts, texts + len(n)), n).astype(np.int32)))
+        rows.append(batch)
+        size, texts = size + len(word), texts + len(n)
+        if size >= BLOCK_WORDS:
+            yield (*(np.concatenate(c) for c in zip(*held, strict=True)), rows)
+            held, rows, size, texts = [], [], 0, 0
+    if held:
+        yield (*(np.concatenate(c) for c in zip(*held, strict=True)), rows)
+
+
+def _unique_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None):
+    """Pairs in order, each once, and how often (or what n adds up to)."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    first = np.flatnonzero(new)
+    if n is None:
+        return a[first], b[first], np.diff(np.append(first, len(a)))
+    return a[first], b[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
+
+
+_BLOCK = "shard int, n long, block binary"
+
 
+def _blocks(shard: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """A block for each shard; the columns are sorted by the first within a shard."""
+    order = np.argsort(shard.astype(np.int32), kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1)) if len(order) else order
+    some, n, raw = [], [], []
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(order)), strict=False):
+        own = order[lo:hi]
+        some.append(int(shard[own[0]]))
+        n.append(hi - lo)
+        raw.append(_pack(*(c[own] for c in columns)))
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], names=["shard", "n", "block"])
 
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
+
+def _rows(batches):
+    for batch in batches:
+        columns = [batch.column(c) for c in batch.schema.names]
+        for i in range(batch.num_rows):
+            yield {name: c[i].as_py() for name, c in zip(batch.schema.names, columns, strict=True)}
+
+
+def _gathered(batches):
+    """A task's shards, one after the other, with the rows of each; a shard's part of a table has a bounded size."""
+    for _, rows in groupby(_rows(batches), lambda r: r["shard"]):
+        yield list(rows)
+
+
+def _by_shard(blocks: DataFrame, shards: int, *more: str) -> DataFrame:
+    return blocks.repartition(shards, "shard").sortWithinPartitions("shard", *more)
+
+
+def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """D1, D2, D3+ from the counts of counts."""
-    r = counts.agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in range(1, 5)]).first()
-    n1, n2, n3, n4 = (max(r[f"n{i}"], 1) for i in range(1, 5))
+    n1, n2, n3, n4 = (max(n, 1) for n in (n1, n2, n3, n4))
     y = n1 / (n1 + 2 * n2)
     return tuple(min(max(d, 0.05), cap) for d, cap in zip((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), (0.95, 1.9, 2.8), strict=True))
 
 
-def kneser_ney(grams: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1 up: (gram, p) of what was seen, and (context, back), the weight of the order below."""
-    counts = [None] * (ORDER + 1)
-    counts[ORDER] = written(grams, "grams")
-    for k in range(ORDER - 1, 0, -1):  # below the top: in how many contexts a gram goes on to the left
-        counts[k] = written(counts[k + 1].groupBy((F.col("gram") % CLASSES**k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "grams")
-    out = []
-    for k in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(counts[k])
-        context = F.floor(F.col("gram") / CLASSES).cast("long")
-        cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        shard = counts[k].withColumns({"context": context, "cut": cut})
-        totals = shard.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("back"))
-        joined = shard.join(totals, "context").withColumn("own", (F.col("n") - F.col("cut")) / F.col("total"))
-        if k == 1:
-            p = F.col("own") + F.col("back") / CLASSES
-            seen = joined.select("gram", p.alias("p"))
-        else:
-            lower = out[-1][0].withColumnsRenamed({"gram": "tail", "p": "q"})
-            joined = joined.withColumn("end", F.col("gram") % CLASSES ** (k - 1)).join(lower, F.col("end") == F.col("tail"))
-            seen = joined.select("gram", (F.col("own") + F.col("back") * F.col("q")).alias("p"))
-        out.append((written(seen, "model"), written(totals.select("context", "back"), "model")))
-    return out
+def _cut(d: tuple, n: np.ndarray) -> np.ndarray:
+    return np.array([0.0, *d])[np.minimum(n, 3)]
+
+
+def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted column, and where each begins (and the column ends)."""
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+    return a[first], np.append(first, len(a))
+
+
+class Model:
+    """Sharded tables, and what all shards share: heavy words (in order) with their Q and weight as a context, and a few numbers."""
+
+    def __init__(self, tables: Written, shards: int, heavy: np.ndarray, numbers: dict, scalars: dict):
+        self.tables, self.shards, self.heavy, self.numbers, self.scalars = tables, shards, heavy, numbers, scalars
+
 
+class Shard:
+    """One shard of the model, from its blocks."""
 
-def log_table(model: list[tuple[DataFrame, DataFrame]]) -> np.ndarray:
-    """log P(last | others) of every gram of order ORDER: CLASSES ** ORDER cells of 4 bytes, 21 MB, whatever the corpus."""
-    below = np.full(CLASSES, 1 / CLASSES)
-    for k, (seen, back) in enumerate(model, 1):
-        weight = np.ones(CLASSES ** (k - 1))
-        for r in back.toLocalIterator():
-            weight[r["context"]] = r["back"]
-        table = np.tile(below, CLASSES) if k > 1 else below.copy()
-        table *= np.repeat(weight, CLASSES)
-        for r in seen.toLocalIterator():
-            table[r["gram"]] = r["p"]
-        below = table
-    return np.log(below).astype(np.float32)
+    def __init__(self, model: Model, rows: list[dict]):
+        self.unseen = model.scalars["unseen"]
+        self.words, (v, x), at, w = _word_table([r for r in rows if r["kind"] == 0])
+        n = np.diff(at)
+        self.q = (n - _cut(model.scalars["cut"], n)) / model.scalars["pairs"] + self.unseen
+        contexts = [_unpack(r["block"], r["n"], U, np.float32) for r in rows if r["kind"] == 1]
+        c, weight = (np.concatenate(p) for p in zip(*contexts, strict=True)) if contexts else (np.zeros(0, U), np.zeros(0, np.float32))
+        order = np.argsort(c)
+        self.contexts, self.weight = c[order], weight[order].astype(float)
+        self.heavy = np.array(list(model.numbers), np.int64).view(U)
+        self.numbers = np.array(list(model.numbers.values())).reshape(-1, 2)
+        code = self._code(w, v)
+        by = np.argsort(code)
+        self.code, self.x, self.w, self.v = code[by], x[by], w[by], v[by]
 
+    @staticmethod
+    def _code(w: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return mix(w) ^ (mix(v) << U(1))
 
-def perplexities(texts: DataFrame, table: np.ndarray) -> DataFrame:
-    """The columns of texts but the text, and perplexity (null for an empty text)."""
-    shared = texts.sparkSession.sparkContext.broadcast(table)
-    others = [c for c in texts.columns if c != "text"]
+    @staticmethod
+    def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+        if not len(keys):
+            return np.full(len(wanted), default)
+        i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[i] == wanted, values[i], default)
+
+    def log_p(self, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """What each pair adds: log (x + Q(w)), and the weight of w as a context; w in order."""
+        distinct, at = _runs(w)
+        q = self._look(self.words, self.q, distinct, self.unseen)
+        weight = self._look(self.contexts, self.weight, distinct, 0.0)
+        wide = _among(distinct, self.heavy)
+        q[wide] = self._look(self.heavy, self.numbers[:, 0], distinct[wide], 0.0)
+        weight[wide] = self._look(self.heavy, self.numbers[:, 1], distinct[wide], 0.0)
+        many, seen = np.diff(at), np.zeros(len(w))
+        if len(self.code):
+            wanted = self._code(w, v)
+            i = np.minimum(np.searchsorted(self.code, wanted), len(self.code) - 1)
+            hit = (self.w[i] == w) & (self.v[i] == v)
+            seen[hit] = self.x[i[hit]]
+        return np.log(np.repeat(q, many) + seen) + np.repeat(weight, many)
+
+
+def _heavy_words(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Words that are one in HEAVY or more of some block, most common first, and how many words there are.
+
+    A word that is one in HEAVY of all words is so in a block; at most HEAVY words are collected.
+    """
 
     def run(batches):
-        table = shared.value
-        for batch, buf, offs in chunks(batches):
-            code, owner = _codes(buf, offs)
-            n = np.diff(offs)
-            total = np.bincount(owner, table[code].astype(np.float64), len(n))
-            value = [math.exp(-t / k) if k else None for t, k in zip(total, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(value, pa.float64())], names=[*others, "perplexity"])
+        for _, word, _, _ in _pairs(batches):
+            w, n = np.unique(word, return_counts=True)
+            big = n * HEAVY >= len(word)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(w[big].view(np.int64), 0)), pa.array(np.append(n[big], 0)), pa.array(np.append(np.zeros(int(big.sum()), np.int64), len(word)))], names=["w", "n", "total"])
+
+    rows = texts.select("text").mapInArrow(run, "w long, n long, total long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    rows = Written(rows, "heavy")
+    total = rows.df.agg(F.sum("total")).first()[0] or 0
+    words = [r["w"] for r in rows.df.where(F.col("n") * HEAVY >= total).where("n > 0").orderBy(F.desc("n"), "w").limit(HEAVY).collect()]
+    rows.drop()
+    return np.sort(np.array(words, np.int64).view(U)), total
+
+
+def fit(texts: DataFrame, scored_bytes: int = 0) -> Model:
+    """The model of the trusted texts (a column text), sharded also for so many bytes of text to be scored."""
+    spark = texts.sparkSession
+    heavy, total = _heavy_words(texts)
+    shards = max(1, -(-total // SHARD_WORDS), -(-scored_bytes // SHARD_BYTES))
+
+    def count(batches):
+        for context, word, _, _ in _pairs(batches):
+            v, w, n = _unique_pairs(context, word)
+            yield _blocks(_shard_of(v, w, shards, heavy), v, w, n.astype(np.uint32))
+
+    pairs = Written(texts.select("text").mapInArrow(count, _BLOCK), "pairs")
+    free_shuffles(spark)
+
+    def merged(rows):
+        parts = [_unpack(r["block"], r["n"], U, U, np.uint32) for r in rows]
+        v, w, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return _unique_pairs(v, w, n.astype(np.int64))
+
+    def tell(batches):
+        """Counts of counts, and the heavy contexts' parts: v, c, n1, n2, n3+ (v 0 for the counts of counts)."""
+        for rows in _gathered(batches):
+            v, w, n = merged(rows)
+            out = [(0, *(int((n == i).sum()) for i in range(1, 5)))]
+            for h in heavy:
+                own = n[np.searchsorted(v, h) : np.searchsorted(v, h, side="right")]
+                out.append((int(h.astype(np.int64)), int(own.sum()), int((own == 1).sum()), int((own == 2).sum()), int((own > 2).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["v", "a", "b", "c", "d"])
+
+    said = _by_shard(pairs.df, shards).mapInArrow(tell, "v long, a long, b long, c long, d long").groupBy("v").agg(*[F.sum(c).alias(c) for c in "abcd"])
+    said = {r["v"]: tuple(r)[1:] for r in said.collect()}  # HEAVY + 1 rows at most
+    d = _discounts(*said.pop(0, (0, 0, 0, 0)))
+    known = {v: (c, float(np.dot(d, ns))) for v, (c, *ns) in said.items() if c}  # c(v), gamma(v)
+
+    def context(batches):
+        """Pairs with x to the shard of their word; what a word weighs as a context to its own."""
+        for rows in _gathered(batches):
+            v, w, n = merged(rows)
+            cut = _cut(d, n)
+            values, at = _runs(v)
+            c, gamma = (np.add.reduceat(x, at[:-1]).astype(float) if len(values) else np.zeros(0) for x in (n, cut))
+            for i in np.flatnonzero(_among(values, heavy)):
+                c[i], gamma[i] = known[int(values[i].astype(np.int64))]
+            x = ((n - cut) / np.repeat(gamma, np.diff(at))).astype(np.float32)
+            order = np.lexsort((v, w))
+            yield _kind(0, _blocks(_shard_of(w[order], v[order], shards, heavy), w[order], v[order], x[order]))
+            light = ~_among(values, heavy)  # those of heavy words are known to all
+            weight = np.log(gamma / c).astype(np.float32)
+            yield _kind(1, _blocks(_shard_of(values[light], values[light], shards, heavy), values[light], weight[light]))
+
+    tables = Written(_by_shard(pairs.df, shards).mapInArrow(context, f"kind int, {_BLOCK}").where("n > 0"), "model")
+    pairs.drop()
+    free_shuffles(spark)
+
+    def contexts(batches):
+        """Counts of counts of N, its sum and number, and heavy words' parts of N."""
+        for rows in _gathered(batches):
+            words, _, at = _word_table(rows)[:3]
+            n = np.diff(at)
+            light = ~_among(words, heavy)
+            own = n[light]
+            out = [(0, *(int((own == i).sum()) for i in range(1, 5)), int(n.sum()), len(own))]
+            out += [(int(words[i].astype(np.int64)), int(n[i]), 0, 0, 0, 0, 0) for i in np.flatnonzero(~light)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=list("wabcdef"))
+
+    told = _by_shard(tables.df.where("kind = 0"), shards).mapInArrow(contexts, "w long, a long, b long, c long, d long, e long, f long")
+    told = {r["w"]: tuple(r)[1:] for r in told.groupBy("w").agg(*[F.sum(c).alias(c) for c in "abcdef"]).collect()}  # HEAVY + 1 rows at most
+    *of, pairs_n, types = told.pop(0, (0,) * 6)
+    wide = {w: r[0] for w, r in told.items()}
+    for n in wide.values():
+        if n <= 4:
+            of[n - 1] += 1
+    types += len(wide)
+    d1 = _discounts(*of)
+    some = of[:2]
+    gamma1 = d1[0] * some[0] + d1[1] * some[1] + d1[2] * (types - some[0] - some[1])
+    scalars = {"cut": d1, "pairs": max(1, pairs_n), "unseen": max(gamma1, 1e-9) / max(1, pairs_n) / (types + 1)}
+    q = {w: (n - float(_cut(d1, np.array([n]))[0])) / scalars["pairs"] + scalars["unseen"] for w, n in wide.items()}
+    numbers = {}
+    for h in heavy.view(np.int64).tolist():
+        c, gamma = known[h]
+        numbers[h] = (q.get(h, scalars["unseen"]), math.log(gamma / c))
+    return Model(tables, shards, heavy, numbers, scalars)
+
+
+def _kind(kind: int, blocks: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind] * blocks.num_rows, pa.int32()), *blocks.columns], names=["kind", *blocks.schema.names])
+
+
+def _word_table(rows):
+    """Words of a shard, contexts and x of their pairs, and where each word's begin: words, (v, x), at."""
+    parts = [_unpack(r["block"], r["n"], U, U, np.float32) for r in rows]
+    w, v, x = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.float32))
+    order = np.lexsort((v, w))
+    w, v, x = w[order], v[order], x[order]
+    words, at = _runs(w)
+    return words, (v, x), at, w
+
+
+def log_probabilities(texts: DataFrame, model: Model) -> DataFrame:
+    """uid, total (log P), words and marks of texts (uid, text); equal uids add up."""
+    shards, heavy, tables = model.shards, model.heavy, model.tables
+    shared = Model(None, shards, heavy, model.numbers, model.scalars)  # without what belongs to the driver
+
+    def ask(batches):
+        for context, word, text, rows in _pairs(batches):
+            uid = np.concatenate([b.column(b.schema.get_field_index("uid")).to_numpy() for b in rows])
+            order = np.lexsort((context, word))
+            w, v, t = word[order], context[order], text[order]
+            blocks = _kind(2, _blocks(_shard_of(w, v, shards, heavy), w, v, t))
+            ids = pa.array([_pack(uid)] * blocks.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([*blocks.columns, ids, pa.array([len(uid)] * blocks.num_rows, pa.int64())], names=[*blocks.schema.names, "ids", "texts"])
+
+    def answer(batches):
+        for _, rows in groupby(_rows(batches), lambda r: r["shard"]):  # by kind: the model's tables come first
+            held: list[dict] | None = []
+            for r in rows:
+                if r["kind"] < 2:
+                    held.append(r)
+                    continue
+                if held is not None:
+                    shard, held = Shard(shared, held), None
+                w, v, t = _unpack(r["block"], r["n"], U, U, np.int32)
+                (uid,) = _unpack(r["ids"], r["texts"], np.int64)
+                total, words, marks = (np.bincount(t, x, len(uid)) for x in (shard.log_p(w, v), None, w == U(MARK)))
+                some = np.flatnonzero(words)
+                yield pa.RecordBatch.from_arrays([pa.array(uid[some]), pa.array(total[some]), pa.array(words[some].astype(np.int64)), pa.array(marks[some].astype(np.int64))], names=["uid", "total", "words", "marks"])
+
+    asked = texts.select("uid", "text").mapInArrow(ask, f"kind int, {_BLOCK}, ids binary, texts long")
+    both = tables.df.withColumns({"ids": F.lit(None).cast("binary"), "texts": F.lit(0).cast("long")}).unionByName(asked)
+    got = _by_shard(both, shards, "kind").mapInArrow(answer, "uid long, total double, words long, marks long")
+    return got.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("total", "words", "marks")])
+
+
+def perplexities(texts: DataFrame, model: Model, passes: int = PASSES) -> DataFrame:
+    """uid, perplexity by word and mark (null for a text without words) of texts (uid, text)."""
+    out = None
+    for i in range(passes):
+        part = texts.where(F.pmod(F.xxhash64("uid"), F.lit(passes)) == i)  # every text is in one pass
+        one = Written(log_probabilities(part, model), "log-probabilities").df
+        out = one if out is None else out.unionByName(one)
+        free_shuffles(texts.sparkSession)
+    return out.select("uid", F.when(F.col("words") > F.col("marks"), F.exp(-F.col("total") / F.col("words"))).alias("perplexity"))
+
 
-    schema = ", ".join([*(f"{c} {texts.schema[c].dataType.simpleString()}" for c in others), "perplexity double"])
-    return texts.mapInArrow(run, schema)
+def held_out(key: Column) -> Column:
+    return F.crc32(key.cast("string").cast("binary")) % HELD_OUT == 0
 
 
 def judge(
@@ -146,22 +404,32 @@ def judge(
 ) -> DataFrame:
     """Per document: doc_id, lang, perplexity, threshold, kept.
 
-    Trusted is what `labels` marks 1, by one mark at least.  A null language is
-    one of its own; a language of fewer than LEAST_TRUSTED trusted documents,
-    and any without, has the threshold of all.  Empty texts have no perplexity
-    and are not kept.  Without trusted documents nothing is rejected.
+    Trusted is what `labels` marks 1, by one mark at least; one in HELD_OUT of
+    them (by the id's CRC) sets the thresholds, the others are counted.  A null
+    language is one of its own; a language of fewer than LEAST_TRUSTED held-out
+    documents, and any without, has the threshold of all.  Texts without words,
+    null ones too, have no perplexity and are not kept.  Rows that share an id or
+    have none are scored each by its own text, and repeated rows alike.  Without
+    trusted documents nothing with words is rejected; an empty table gives no rows.
     """
-    base = docs.select(
-        docs[id_col].cast("long").alias("id"), docs[lang_col].cast("string").alias("lang"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")
-    )
+    c = F.col
+    base = docs.select(docs[id_col].cast("long").alias("id"), docs[lang_col].cast("string").alias("lang"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    several = base.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").take(1)
+    #: What a row is known by: its id, or if ids do not tell rows apart a number made of its content.
+    base = base.withColumn("uid", F.xxhash64("id", "text") if several else c("id"))
     trusted = labels.where((labels[label_col] == 1) & labels[id_col].isNotNull()).select(labels[id_col].cast("long").alias("tid")).distinct()
-    trusted = written(trusted, "trusted")
-    table = log_table(kneser_ney(count_ngrams(base.join(bounded(trusted), F.col("id") == F.col("tid"), "left_semi"))))
-    scored = written(perplexities(base, table), "perplexity")
-    good = scored.join(bounded(trusted), F.col("id") == F.col("tid"), "left_semi").where("perplexity IS NOT NULL")
+    trusted = Written(trusted, "trusted").df
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    model = fit(base.join(bounded(trusted.where(~held_out(c("tid")))), c("id") == c("tid"), "left_semi"), size // PASSES)
+    scored = perplexities(base, model).withColumnRenamed("uid", "suid")
+    full = base.select("id", "lang", "uid").join(scored, c("uid") == c("suid"), "left").select("id", "lang", "perplexity")
+    full = Written(full, "perplexities").df
+    model.tables.drop()
+    good = full.where("perplexity IS NOT NULL").join(bounded(trusted), c("id") == c("tid"), "left_semi").withColumn("out", held_out(c("id")))
     cut = F.percentile_approx("perplexity", quantile, 10_000)
-    by_lang = good.groupBy(F.col("lang").alias("tlang")).agg(cut.alias("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TRUSTED)
-    everyone = good.agg(cut.alias("all")).first()["all"]
-    out = scored.join(bounded(by_lang), F.col("lang").eqNullSafe(F.col("tlang")), "left")
-    threshold = F.coalesce("own", F.lit(everyone if everyone is not None else float("inf")))
-    return out.select(F.col("id").alias("doc_id"), "lang", "perplexity", threshold.alias("threshold"), (F.coalesce("perplexity", F.lit(float("nan"))) <= threshold).alias("kept"))
+    # a held-out document has the say if there is one
+    everyone = good.groupBy("out").agg(cut.alias("all")).orderBy(F.desc("out")).first()
+    by_lang = good.where("out").groupBy(c("lang").alias("tlang")).agg(cut.alias("own"), F.count(F.lit(1)).alias("n")).where(c("n") >= LEAST_TRUSTED)
+    out = full.join(bounded(by_lang), c("lang").eqNullSafe(c("tlang")), "left")
+    threshold = F.coalesce("own", F.lit(everyone["all"] if everyone is not None else float("inf")))
+    return out.select(c("id").alias("doc_id"), "lang", "perplexity", threshold.alias("threshold"), F.coalesce(c("perplexity") <= threshold, F.lit(False)).alias("kept"))

@@ -265,6 +265,69 @@ def test_quality(spark):
     assert quality.judge(docs_of(spark, rows), labels.where("false")).where("kept").count() == 61
 
 
+def brute_kneser_ney(trusted, texts):
+    """Perplexity of each text, by plain dictionaries; None without words."""
+    import math
+    from collections import Counter, defaultdict
+
+    def pairs(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        return list(zip([None, *w], [*w, None], strict=True))
+
+    def discounts(counts):
+        n = [max(1, sum(1 for c in counts if c == i)) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+        return [0.0, *(min(max(x, 0.05), top) for x, top in zip(d, (0.95, 1.9, 2.8), strict=True))]
+
+    c = Counter(p for t in trusted for p in pairs(t))
+    d = discounts(c.values())
+    total, gamma, before = Counter(), defaultdict(float), Counter()
+    for (v, w), n in c.items():
+        total[v] += n
+        gamma[v] += d[min(n, 3)]
+        before[w] += 1
+    e = discounts(before.values())
+    unseen = sum(e[min(n, 3)] for n in before.values()) / len(c) / (len(before) + 1)
+
+    def p(v, w):
+        q = (before[w] - e[min(before[w], 3)]) / len(c) + unseen if w in before else unseen
+        if v not in total:
+            return q
+        n = c[v, w]
+        return ((n - d[min(n, 3)]) / total[v] if n else 0.0) + gamma[v] / total[v] * q
+
+    return [math.exp(-sum(math.log(p(v, w)) for v, w in pairs(t)) / len(pairs(t))) if t.split() else None for t in texts]
+
+
+@pytest.mark.parametrize("several_ids", [False, True])
+def test_quality_by_brute_force(spark, monkeypatch, several_ids):
+    """Several shards, blocks and passes, words that are heavy and words that are not."""
+    for name, value in (("SHARD_WORDS", 400), ("BLOCK_WORDS", 300), ("HEAVY", 12)):
+        monkeypatch.setattr(quality, name, value)
+    r = random.Random(6)
+    words = ["the", "the", "the", "the", "of", "of", *("w%d" % i for i in range(60))]
+    rows = [" ".join(r.choice(words) for _ in range(r.randint(1, 60))) for _ in range(90)]
+    rows += ["|".join(rows[0].split()), "the the the the the", "unseen words only", None, "", " \n", rows[3], "é " * 50]
+    docs = docs_of(spark, rows)
+    if several_ids:
+        docs = docs.union(docs.where("doc_id = 96")).union(docs.where("doc_id = 1").withColumn("doc_id", common.F.lit(None).cast("bigint")))
+    labels = spark.createDataFrame([(i, 1) for i in range(80)] + [(None, 1), (81, 0)], "doc_id bigint, quality int")
+    import zlib
+
+    trusted = [rows[i] for i in range(80) if zlib.crc32(str(i).encode()) % quality.HELD_OUT]
+    want = brute_kneser_ney(trusted, [t or "" for t in rows])
+    got = quality.judge(docs, labels).collect()
+    assert len(got) == len(rows) + 2 * several_ids
+    for x in got:
+        expected = want[1 if x["doc_id"] is None else x["doc_id"]]
+        assert x["perplexity"] == (expected if expected is None else pytest.approx(expected, rel=1e-4))
+        assert x["kept"] == (expected is not None and x["perplexity"] <= x["threshold"])
+    out = sorted(want[i] for i in range(80) if not zlib.crc32(str(i).encode()) % quality.HELD_OUT)
+    assert got[0]["threshold"] == pytest.approx(out[-1], rel=1e-4)
+    assert quality.judge(docs.where("false"), labels).count() == 0
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     words = ["the", "water", "house", "road", "little", "paper", "green", "stone", "table", "under"]
