@@ -35,7 +35,7 @@ BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption legend optgroup option select title head".split()
 )
-NEVER = frozenset("script style head title noscript template svg math canvas iframe object audio video select option button textarea input form label datalist nav menu dialog noembed noframes xmp map".split())
+NEVER = frozenset("script style head title noscript template svg canvas iframe object audio video select option button textarea input datalist nav menu dialog noembed noframes xmp map".split())
 #: Elements that a new one of the given kinds closes.
 CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot caption option optgroup summary legend head title".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -61,12 +61,30 @@ for _kind, _words in TOKENS.items():
         _TOKEN_KIND.setdefault(_w, []).append(_kind)
 KINDS = list(TOKENS)
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-_ATTR = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_ANY_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Comments, other declarations, and tags.  As in browsers quotes count only where a value begins, so an unquoted one may hold them.
+_MARKUP = re.compile(
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*+)(?:>|\Z)",
+    re.DOTALL,
+)
+_ANY_ATTR = re.compile(r"([^\s>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+#: Attributes whose words tell what an element is for.
+_TELLING = frozenset(("class", "id", "role", "itemprop", "aria-label"))
 _HIDDEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
-_BLANKS = re.compile(r"[ \t\n\r\f\v]+")
+
+
+_TOP, _BODY, _HEAD_END = (re.compile(x, re.IGNORECASE) for x in (r"<html[\s>/]", r"<(?:body|frameset)[\s>/]", r"</head\s*>"))
+
+
+def _complete(source: str) -> str:
+    """With the html and body elements that a page has even if it does not say so."""
+    if not _BODY.search(source):
+        head = _HEAD_END.search(source)
+        top = _MARKUP.match(source, m.start()) if not head and (m := _TOP.search(source)) else None
+        at = head.end() if head else top.end() if top else 0
+        source = f"{source[:at]}<body>{source[at:]}"
+    return source if _TOP.search(source) else "<html>" + source
 
 
 class Page:
@@ -75,7 +93,7 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.attrs, self.end = ["#root"], [-1], [""], [0]
         self.runs: list[tuple[int, str]] = []  # (element, text); text None where a block begins or ends
-        self._parse(source)
+        self._parse(_complete(source))
 
     def _open(self, tag: str, attrs: str, stack: list[int]) -> int:
         i = len(self.tag)
@@ -153,8 +171,9 @@ def _tokens(tag: str, attrs: str) -> list[int]:
     out = [0] * len(KINDS)
     words = [tag]
     if attrs:
-        for m in _ATTR.finditer(attrs):
-            words += _SPLIT.split(m[2] or m[3] or m[4] or "")
+        for name, *values in _ANY_ATTR.findall(attrs):
+            if name.lower() in _TELLING:
+                words += _SPLIT.split("".join(values))
     for w in words:
         for kind in _TOKEN_KIND.get(w.lower(), ()):
             out[KINDS.index(kind)] = 1
@@ -236,6 +255,8 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ]
     x = np.column_stack([*columns, kinds, above, one]).astype(np.float32)
     never = np.array([t in NEVER or hides(a) for t, a in zip(tag, page.attrs, strict=True)])
+    # a form that holds most of a page wraps it
+    never |= np.array([t == "form" for t in tag]) & (text < 0.5 * whole)
     return x, own, never
 
 
@@ -280,7 +301,7 @@ def render(page: Page, keep: np.ndarray) -> str:
             now.append(text)
     if now:
         blocks.append("".join(now))
-    out = (_BLANKS.sub(" ", html.unescape(_BLANKS.sub(" ", b))).strip(" ") for b in blocks)
+    out = (" ".join(html.unescape(b).split()) for b in blocks)  # white space of any kind
     return "\n".join(b for b in out if b)
 
 
