@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, claim, id_text
+from .common import CHUNK_BYTES, Written, chunks, claim, id_text
 
 #: Labelled rows that the classifier is fitted on at most (those of the smallest hash), and features kept.
 FIT_ROWS, FIT_FEATURES = 20_000, 4_096
@@ -105,11 +105,13 @@ def count_letters(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(CLASSES**3, np.int64)
         for _, buf, offs in chunks(batches):
-            c = np.zeros(len(buf) + 2 * (len(offs) - 1) + 2, np.int64)
-            at = np.arange(len(buf)) + 2 * np.repeat(np.arange(1, len(offs)), np.diff(offs))
-            c[at] = _CLASS[buf]
-            code = (c[:-2] << 12) | (c[1:-1] << 6) | c[2:]
-            total += np.bincount(code[c[1:-1] + c[2:] > 0], minlength=CLASSES**3)
+            c = np.zeros(len(buf) + 2 * len(offs), np.uint8)  # two ends of words between texts
+            for i in range(len(offs) - 1):
+                c[offs[i] + 2 * i + 2 : offs[i + 1] + 2 * i + 2] = _CLASS[buf[offs[i] : offs[i + 1]]]
+            for at in range(0, len(c) - 2, CHUNK_BYTES):  # a long text in pieces
+                d = c[at : at + CHUNK_BYTES + 2].astype(np.int32)
+                code = (d[:-2] << 12) | (d[1:-1] << 6) | d[2:]
+                total += np.bincount(code[d[1:-1] + d[2:] > 0], minlength=CLASSES**3)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
 
@@ -308,7 +310,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The letter model over all documents; the classifier over FIT_ROWS labelled rows outside the held-out fold at most.
 
     A document with several labels is toxic if one of them is 1; null labels do
-    not count.  Without labelled rows of both kinds no document is toxic.
+    not count.  Of rows that share an id one text is fitted on (that of the
+    smallest hash).  Without labelled rows of both kinds no document is toxic.
+    Texts of any length count whole.
     """
     spark = docs.sparkSession
     texts = id_text(docs, id_col, text_col)
@@ -317,7 +321,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = marks.where("lid IS NOT NULL AND y IS NOT NULL").groupBy("lid").agg(F.max("y").alias("y"))
     marks = marks.where(F.crc32(F.col("lid").cast("string").cast("binary")) % 5 != 0)
     marks = marks.orderBy(F.xxhash64("lid"), "lid").limit(FIT_ROWS)  # bounded: it may be broadcast
-    fit = texts.join(F.broadcast(marks), texts.id == marks.lid).select("text", "y")
+    # rows that share an id are one: FIT_ROWS stay FIT_ROWS
+    fit = texts.join(F.broadcast(marks), texts.id == marks.lid).groupBy("lid").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
+    fit_table = Written(fit.select("text", "y"), "fit")
+    fit = fit_table.df
     letters = spark.sparkContext.broadcast(model.letters)
 
     def count(batches):
@@ -361,6 +368,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(has, pa.list_(pa.int32()))], names=["y", "has"])
 
     rows = [(r["y"], r["has"]) for r in fit.mapInArrow(read, "y int, has array<int>").collect()]  # FIT_ROWS at most
+    fit_table.drop()
     rows.sort()
     weights, model.bias = _fit(rows, np.array([r["ratio"] for r in best]))
     model.weights = {f: float(weights[i]) for f, i in index.items()}
