@@ -18,12 +18,13 @@ import json
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, id_text
+from .common import CHUNK_BYTES, claim, id_text
 
 #: How the byte-level pre-tokenizer splits text (fixed value of the public file format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -240,24 +241,46 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def _encoded(docs: DataFrame, vocabulary: str | None, id_col: str, text_col: str, carry_ids: bool) -> DataFrame:
     path = vocabulary or default_vocabulary()
 
     def run(batches):
         bpe = _claimed(path)
         for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for text in batch.column("text"):
-                ids = bpe.encode_bytes(text.as_py())
-                counts.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(memoryview(ids).cast("I")).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            texts = batch.column("text")
+            at = 0
+            while at < batch.num_rows:
+                raw, text_sha, held, begin = [], [], 0, at
+                while at < batch.num_rows and held < 4 * CHUNK_BYTES:  # so many bytes of ids, or one text's
+                    ids = bpe.encode_bytes(texts[at].as_py())
+                    raw.append(ids)
+                    held += len(ids)
+                    text_sha.append(hashlib.sha256(bpe.decode(memoryview(ids).cast("I")).encode()).hexdigest())
+                    at += 1
+                counts = [len(r) // 4 for r in raw]
+                columns = [batch.column("id").slice(begin, at - begin), pa.array(counts, pa.int64())]
+                if carry_ids:
+                    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4"))))
+                columns += [pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()), pa.array(text_sha, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = {"doc_id": "long", "n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}
+    names = [c for c in kinds if carry_ids or c != "ids"]
+    return id_text(docs, id_col, text_col).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
+
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Nulls, repeated rows and empty tables as in `tokenize`; texts of any length.
+    """
+    return _encoded(docs, vocabulary, id_col, text_col, carry_ids=False)
 
 
 def with_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pipeline's last stage: doc_id, n_tokens, ids_sha256, decoded_sha256 of what is left."""
-    return round_trip(docs, vocabulary, id_col, text_col)
+    """The pipeline's last stage: doc_id, n_tokens, ids (array<int>, what a model is trained on), ids_sha256, decoded_sha256 of what is left.
+
+    Nulls, repeated rows and empty tables as in `tokenize`.
+    """
+    return _encoded(docs, vocabulary, id_col, text_col, carry_ids=True)

@@ -121,6 +121,13 @@ def test_bpe(spark, texts):
         assert r["ids"] == want and r["decoded"] == tokenizer.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_rows(spark):
+    rows = docs_of(spark, ["same text", "same text", None]).withColumnsRenamed({"id": "ids", "key": "n_tokens"})
+    got = bpe.round_trip(rows.union(rows)).collect()
+    assert len(got) == 6 and len({r["ids_sha256"] for r in got}) == 2
+    assert bpe.round_trip(rows.where("false")).count() == 0
+
+
 def shingles(t, k=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()}
@@ -347,6 +354,10 @@ def test_toxicity(spark):
     assert sum(got[i]["predicted"] == int(i % 3 == 0) for i in range(300) if got[i]["held_out"]) >= 50
     assert toxicity.drop_toxic(docs_of(spark, rows), labels).columns == SCHEMA.replace(" bigint", "").replace(" string", "").split(", ")
     assert toxicity.score_documents(docs_of(spark, rows), labels.where("false")).where("predicted = 1").count() == 0
+    assert toxicity.score_documents(docs_of(spark, []), labels).count() == 0
+    for hidden in ("idio" + "t" * 61, "1d1" + "0" * 61 + "t", " ".join("xyzw" * 20) + " 1 d 1 0 t"):  # of any length
+        more = docs_of(spark, [*rows, f"the {hidden} road"])
+        assert toxicity.score_documents(more, labels).where(f"doc_id = {len(rows)}").first()["score"] == pytest.approx(got[307]["score"], abs=0.02)
 
 
 def test_toxicity_of_hidden_words():
@@ -368,6 +379,34 @@ def test_toxicity_of_hidden_words():
     assert not reader.of_text("the pidiots said so, b#o#o#k and water/house xidiot\u200b")
 
 
+def test_restoring_by_brute_force():
+    """The Viterbi path against every path through the lattice."""
+    r = random.Random(11)
+    counts = toxicity.np.array([r.choice((0, 0, 1, 5, 40)) for _ in range(toxicity.CLASSES**3)], toxicity.np.int64)
+    restorer = toxicity.Restorer(toxicity.letter_model(counts))
+
+    def best(seen, i, state, last, p, out):
+        if i == len(seen):
+            return [(p + restorer._step(state, " ")[0], out)]
+        ch, found = seen[i], []
+        meant = [(ch, toxicity.AS_IS)] if ch.isalpha() else []
+        meant += [(to, toxicity.SWAPPED) for to in toxicity.LOOKALIKES.get(ch, "")]
+        for letter, channel in meant:
+            cost, to = restorer._step(state, letter)
+            found += best(seen, i + 1, to, letter, p + channel + cost, out + letter)
+            if letter == last:
+                found += best(seen, i + 1, state, last, p + channel + toxicity.REPEATED, out)
+        if not meant or ch in toxicity.SEPARATORS:
+            found += best(seen, i + 1, state, last, p + toxicity.SEPARATED, out)
+        return found
+
+    for _ in range(150):
+        seen = "".join(r.choice("abiloo01!6!86..-_|") for _ in range(r.randint(1, 7)))
+        every = best(seen, 0, (0, 0), "", 0.0, "")
+        top = max(p for p, _ in every)
+        assert any(out == restorer.restore(seen) and p > top - 1e-6 for p, out in every), seen
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><div class="cookie-notice">We use cookies, accept them.</div>
 <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">About</a></li></ul></nav>
 <article><h1>The&nbsp;title &amp; more</h1><p>First   paragraph of the story, with words.</p><div class="ad">Buy now, only today.</div>
@@ -387,8 +426,43 @@ def test_html_hidden_attributes():
         assert htmlmain.hides(" " + hidden), hidden
 
 
+STORY = [
+    "A long first paragraph tells what the story is about, and it goes on for some time.",
+    "The second one, as long as the first, adds what was left out before; it has commas, too.",
+    "A third paragraph ends the story with a last remark, so that nobody has to wonder about it.",
+]
+
+
+def test_html_of_other_shapes():
+    story = "\n".join(STORY)
+    menu = "<div class=nav><a href=/a>Home</a> <a href=/b>News</a> <a href=/c>Sport</a> <a href=/d>Contact</a></div>"
+    foot = "<div id=footer>Copyright of the site. <a href=/i>Imprint</a> <a href=/p>Privacy</a></div>"
+    paragraphs = [f"<p>{x}</p>" for x in STORY]
+    pages = {
+        "quotes in unquoted values": f"<body>{menu}<article><p data-x=a'b title=it\"s>{STORY[0]}</p>{paragraphs[1]}<p class=x'>{STORY[2]}</article>{foot}",
+        "white space of other kinds": f"<body>{menu}<article><p>{STORY[0].replace(' ', '&nbsp;&#8195; ')}</p>{paragraphs[1].replace(' ', chr(0xA0) + chr(0x2028))}{paragraphs[2]}</article>{foot}",
+        "comments": f"<body><!-->{menu}<!-- a > b --!><article>{'<!--->'.join(paragraphs)}</ x></article><!-- {foot}",
+        "wrapping form": f"<body><form action=x>{menu}<article>{''.join(paragraphs)}</article>{foot}</form></body>",
+        "labels": f"<body>{menu}<article>{paragraphs[0]}<p><label>{STORY[1][:20]}</label>{STORY[1][20:]}</p>{paragraphs[2]}</article>{foot}",
+        "main without article": f"<html><body>{menu}<main>{''.join(paragraphs)}</main>{foot}</body></html>",
+        "greater sign in a value": f"<body>{menu}<article><p title='a > b' data-y=\"c > d\">{STORY[0]}</p>{''.join(paragraphs[1:])}</article>{foot}",
+    }
+    for name, page in pages.items():
+        assert htmlmain.extract(page) == story, name
+
+
+def test_html_rows(spark):
+    schema = "page_id bigint, url string, html string, id string, text string, n_chars string"
+    rows = [(1, "u", PAGE, "x", "y", "z"), (1, "u", PAGE, "x", "y", "z"), (None, None, "<p>", None, None, None)]
+    got = htmlmain.main_text(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 3 and len({r["text"] for r in got if r["page_id"] == 1}) == 1
+    assert htmlmain.main_text(spark.createDataFrame([], schema)).count() == 0
+    long = htmlmain.extract("<article>" + "".join(f"<p>Paragraph {i} of a very long page, with enough words in it.</p>" for i in range(20_000)) + "</article>")
+    assert long.count("\n") == 19_999
+
+
 def test_html(spark):
-    want = "The title & more\nFirst paragraph of the story, with words.\nSecond bold paragraph of it, longer than the first one was."
+    want = "The title & more\nFirst paragraph of the story, with words.\nSecond bold paragraph of it, longer than the first one was."
     pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "v", "")], "page_id bigint, url string, html string")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in htmlmain.main_text(pages).collect()}
     assert got == {1: (want, len(want)), 2: ("", 0), 3: ("", 0)}
@@ -464,6 +538,8 @@ def test_pipeline_by_brute_force(spark, tmp_path):
         expected[i] = (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest())
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x["doc_id"]: (x["n_tokens"], x["ids_sha256"], x["decoded_sha256"]) for x in out} == expected and len(out) == len(want)
+    for x in out:
+        assert hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in x["ids"])).hexdigest() == x["ids_sha256"]
 
     stage = docs
     for _, f in corpus_pipeline.STAGES[:-1]:  # an empty table goes through every stage
@@ -474,7 +550,7 @@ def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     got = out.collect()
     assert 0 < len(got) < len(texts)
