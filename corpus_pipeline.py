@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from emberframe.llm import bpe, decontam, exact, ngram_join, toxicity
-from emberframe.llm.common import written
+from emberframe.llm.common import Written, mark, release
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what is left."""
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of what is left."""
     return bpe.with_tokens(docs)
 
 
@@ -51,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, begin = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        table = Written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        release(begin, but=(table,))  # the stage's tables, and what it read
+        docs = table.df
     return STAGES[-1][1](spark, docs, sf_dir)
