@@ -55,31 +55,50 @@ QUANTILE, LEAST_TRUSTED = 0.99, 30
 HELD_OUT = 5
 #: Words that a block is made of; counted words, and bytes of scored text, for each shard.
 BLOCK_WORDS, SHARD_WORDS, SHARD_BYTES = 2_000_000, 1_000_000, 32 << 20
-PASSES = 3
+PASSES = 4
 #: A word is heavy if it is one word in so many or more.
 HEAVY = 256
 #: The mark that closes a text.
 MARK = 0x6D61726B
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of one length; bytes of like weight stand together.  The first is sorted and kept as differences."""
-    first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
-    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in (first, *columns[1:])]
+#: Words are known by 48 bits of a hash, contexts of a known word by 40, and x to 16 bits.
+WORD, CONTEXT, REAL, COUNT, TEXT = 6, 5, 3, 4, 4
+
+
+def _pack(widths: tuple, *columns: np.ndarray) -> bytes:
+    """Columns of one length, the given number of low bytes of each; bytes of like weight stand together.  The first is sorted and kept as differences."""
+    whole = [c.astype("<u8") for c in columns]
+    whole[0] = np.diff(whole[0], prepend=U(0))
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), 8)[:, :k].T).tobytes() for c, k in zip(whole, widths, strict=True)]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def _unpack(raw: bytes, n: int, *kinds) -> list[np.ndarray]:
-    data, at, out = zstandard.ZstdDecompressor().decompress(raw, max_output_size=n * sum(np.dtype(k).itemsize for k in kinds)), 0, []
-    for kind in kinds:
-        width = np.dtype(kind).itemsize
-        planes = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
-        at += n * width
-    out[0] = np.cumsum(out[0], dtype=out[0].dtype)
+def _unpack(widths: tuple, raw: bytes, n: int) -> list[np.ndarray]:
+    data, at, out = zstandard.ZstdDecompressor().decompress(raw, max_output_size=n * sum(widths)), 0, []
+    for k in widths:
+        c = np.zeros((n, 8), np.uint8)
+        c[:, :k] = np.frombuffer(data, np.uint8, n * k, at).reshape(k, n).T
+        out.append(c.reshape(-1).view("<u8"))
+        at += n * k
+    mask = U((1 << (8 * widths[0])) - 1)
+    out[0] = np.cumsum(out[0], dtype=U) & mask
     return out
 
 
+def _real(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.float32).view(np.uint32) >> np.uint32(8)
+
+
+def _from_real(x: np.ndarray) -> np.ndarray:
+    return (x.astype(np.uint32) << np.uint32(8)).view(np.float32)
+
+
+_LOW_CONTEXT = U((1 << (8 * CONTEXT)) - 1)
+#: Columns of blocks: pairs by context (v, w, n); pairs by word (w, v, x); weights (v, weight); questions (w, v, text).
+BY_CONTEXT, BY_WORD, WEIGHTS, ASKED = (WORD, WORD, COUNT), (WORD, CONTEXT, REAL), (WORD, 4), (WORD, CONTEXT, TEXT)
+
+
 def _among(word: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     if not len(heavy):
         return np.zeros(len(word), bool)
@@ -98,6 +117,7 @@ def _pairs(batches):
     size, texts = 0, 0
     for batch, buf, offs in chunks(batches):
         h, per = word_hashes(buf, offs, lower=False)
+        h &= U((1 << (8 * WORD)) - 1)
         ends = np.cumsum(per)
         word = np.insert(h, ends, U(MARK))  # a mark after each text
         n = per + 1
@@ -129,7 +149,7 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None):
 _BLOCK = "shard int, n long, block binary"
 
 
-def _blocks(shard: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+def _blocks(widths: tuple, shard: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     """A block for each shard; the columns are sorted by the first within a shard."""
     order = np.argsort(shard.astype(np.int32), kind="stable")
     cuts = np.flatnonzero(np.diff(shard[order], prepend=-1)) if len(order) else order
@@ -138,7 +158,7 @@ def _blocks(shard: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
         own = order[lo:hi]
         some.append(int(shard[own[0]]))
         n.append(hi - lo)
-        raw.append(_pack(*(c[own] for c in columns)))
+        raw.append(_pack(widths, *(c[own] for c in columns)))
     return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], names=["shard", "n", "block"])
 
 
@@ -188,18 +208,17 @@ class Shard:
 
     def __init__(self, model: Model, rows: list[dict]):
         self.unseen = model.scalars["unseen"]
-        self.words, (v, x), at, w = _word_table([r for r in rows if r["kind"] == 0])
+        w, v, x = _columns(BY_WORD, [r for r in rows if r["kind"] == 0])
+        self.words, at = _runs(w)
         n = np.diff(at)
         self.q = (n - _cut(model.scalars["cut"], n)) / model.scalars["pairs"] + self.unseen
-        contexts = [_unpack(r["block"], r["n"], U, np.float32) for r in rows if r["kind"] == 1]
-        c, weight = (np.concatenate(p) for p in zip(*contexts, strict=True)) if contexts else (np.zeros(0, U), np.zeros(0, np.float32))
-        order = np.argsort(c)
-        self.contexts, self.weight = c[order], weight[order].astype(float)
-        self.heavy = np.array(list(model.numbers), np.int64).view(U)
+        self.contexts, weight = _columns(WEIGHTS, [r for r in rows if r["kind"] == 1])
+        self.weight = weight.astype(np.uint32).view(np.float32).astype(float)
+        self.heavy = np.array(list(model.numbers), U)
         self.numbers = np.array(list(model.numbers.values())).reshape(-1, 2)
         code = self._code(w, v)
         by = np.argsort(code)
-        self.code, self.x, self.w, self.v = code[by], x[by], w[by], v[by]
+        self.code, self.x, self.w, self.v = code[by], _from_real(x[by]), w[by], v[by]
 
     @staticmethod
     def _code(w: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -258,66 +277,70 @@ def fit(texts: DataFrame, scored_bytes: int = 0) -> Model:
     def count(batches):
         for context, word, _, _ in _pairs(batches):
             v, w, n = _unique_pairs(context, word)
-            yield _blocks(_shard_of(v, w, shards, heavy), v, w, n.astype(np.uint32))
-
-    pairs = Written(texts.select("text").mapInArrow(count, _BLOCK), "pairs")
-    free_shuffles(spark)
-
-    def merged(rows):
-        parts = [_unpack(r["block"], r["n"], U, U, np.uint32) for r in rows]
-        v, w, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-        return _unique_pairs(v, w, n.astype(np.int64))
+            yield _blocks(BY_CONTEXT, _shard_of(v, w, shards, heavy), v, w, n)
 
-    def tell(batches):
-        """Counts of counts, and the heavy contexts' parts: v, c, n1, n2, n3+ (v 0 for the counts of counts)."""
+    def merge(batches):
+        """A shard's pairs, each once, and what is told of them: counts of counts under 0, and the heavy contexts' parts (v, c, n1, n2, n3+)."""
         for rows in _gathered(batches):
-            v, w, n = merged(rows)
-            out = [(0, *(int((n == i).sum()) for i in range(1, 5)))]
+            v, w, n = (np.concatenate(c) for c in zip(*(_unpack(BY_CONTEXT, r["block"], r["n"]) for r in rows), strict=True))
+            v, w, n = _unique_pairs(v, w, n.astype(np.int64))
+            told = [[0, *(int((n == i).sum()) for i in range(1, 5))]]
             for h in heavy:
                 own = n[np.searchsorted(v, h) : np.searchsorted(v, h, side="right")]
-                out.append((int(h.astype(np.int64)), int(own.sum()), int((own == 1).sum()), int((own == 2).sum()), int((own > 2).sum())))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["v", "a", "b", "c", "d"])
+                if len(own):
+                    told.append([int(h), int(own.sum()), int((own == 1).sum()), int((own == 2).sum()), int((own > 2).sum())])
+            yield _told(_kind(0, _blocks(BY_CONTEXT, np.full(len(v), rows[0]["shard"]), v, w, n)), told)
 
-    said = _by_shard(pairs.df, shards).mapInArrow(tell, "v long, a long, b long, c long, d long").groupBy("v").agg(*[F.sum(c).alias(c) for c in "abcd"])
-    said = {r["v"]: tuple(r)[1:] for r in said.collect()}  # HEAVY + 1 rows at most
-    d = _discounts(*said.pop(0, (0, 0, 0, 0)))
-    known = {v: (c, float(np.dot(d, ns))) for v, (c, *ns) in said.items() if c}  # c(v), gamma(v)
+    table = f"kind int, {_BLOCK}, told array<array<long>>"
+    pairs = Written(_by_shard(texts.select("text").mapInArrow(count, _BLOCK), shards).mapInArrow(merge, table), "pairs")
+    free_shuffles(spark)
+    said = _sums(pairs.df, 4)
+    d = _discounts(*said.pop(0, [0] * 4))
+    known = {v: (c, float(np.dot(d, ns))) for v, (c, *ns) in said.items()}  # c(v), gamma(v)
 
     def context(batches):
         """Pairs with x to the shard of their word; what a word weighs as a context to its own."""
-        for rows in _gathered(batches):
-            v, w, n = merged(rows)
+        for r in _rows(batches):
+            v, w, n = _unpack(BY_CONTEXT, r["block"], r["n"])
+            n = n.astype(np.int64)
             cut = _cut(d, n)
             values, at = _runs(v)
-            c, gamma = (np.add.reduceat(x, at[:-1]).astype(float) if len(values) else np.zeros(0) for x in (n, cut))
+            c, gamma = (np.add.reduceat(x, at[:-1]).astype(float) for x in (n, cut))
             for i in np.flatnonzero(_among(values, heavy)):
-                c[i], gamma[i] = known[int(values[i].astype(np.int64))]
-            x = ((n - cut) / np.repeat(gamma, np.diff(at))).astype(np.float32)
+                c[i], gamma[i] = known[int(values[i])]
+            x = (n - cut) / np.repeat(gamma, np.diff(at))
             order = np.lexsort((v, w))
-            yield _kind(0, _blocks(_shard_of(w[order], v[order], shards, heavy), w[order], v[order], x[order]))
+            v, w, x = v[order], w[order], x[order]
+            yield _kind(0, _blocks(BY_WORD, _shard_of(w, v, shards, heavy), w, v & _LOW_CONTEXT, _real(x)))
             light = ~_among(values, heavy)  # those of heavy words are known to all
-            weight = np.log(gamma / c).astype(np.float32)
-            yield _kind(1, _blocks(_shard_of(values[light], values[light], shards, heavy), values[light], weight[light]))
-
-    tables = Written(_by_shard(pairs.df, shards).mapInArrow(context, f"kind int, {_BLOCK}").where("n > 0"), "model")
-    pairs.drop()
-    free_shuffles(spark)
+            weight = np.log(gamma / c).astype(np.float32).view(np.uint32)
+            yield _kind(1, _blocks(WEIGHTS, _shard_of(values[light], values[light], shards, heavy), values[light], weight[light]))
 
-    def contexts(batches):
-        """Counts of counts of N, its sum and number, and heavy words' parts of N."""
+    def by_word(batches):
+        """A shard's tables, and what is told of them: of N the counts of counts, sum and number, and heavy words' parts."""
         for rows in _gathered(batches):
-            words, _, at = _word_table(rows)[:3]
+            shard = rows[0]["shard"]
+            w, v, x = _columns(BY_WORD, [r for r in rows if r["kind"] == 0])
+            order = np.lexsort((v, w))
+            w, v, x = w[order], v[order], x[order]
+            words, at = _runs(w)
             n = np.diff(at)
-            light = ~_among(words, heavy)
-            own = n[light]
-            out = [(0, *(int((own == i).sum()) for i in range(1, 5)), int(n.sum()), len(own))]
-            out += [(int(words[i].astype(np.int64)), int(n[i]), 0, 0, 0, 0, 0) for i in np.flatnonzero(~light)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=list("wabcdef"))
-
-    told = _by_shard(tables.df.where("kind = 0"), shards).mapInArrow(contexts, "w long, a long, b long, c long, d long, e long, f long")
-    told = {r["w"]: tuple(r)[1:] for r in told.groupBy("w").agg(*[F.sum(c).alias(c) for c in "abcdef"]).collect()}  # HEAVY + 1 rows at most
-    *of, pairs_n, types = told.pop(0, (0,) * 6)
-    wide = {w: r[0] for w, r in told.items()}
+            wide = _among(words, heavy)
+            own = n[~wide]
+            told = [[0, *(int((own == i).sum()) for i in range(1, 5)), int(n.sum()), len(own)]]
+            told += [[int(words[i]), int(n[i])] for i in np.flatnonzero(wide)]
+            yield _told(_kind(0, _blocks(BY_WORD, np.full(len(w), shard), w, v, x)), told)
+            c, weight = _columns(WEIGHTS, [r for r in rows if r["kind"] == 1])
+            order = np.argsort(c)
+            yield _told(_kind(1, _blocks(WEIGHTS, np.full(len(c), shard), c[order], weight[order])), [])
+
+    moved = pairs.df.select("shard", "n", "block").where("n > 0").mapInArrow(context, f"kind int, {_BLOCK}")
+    tables = Written(_by_shard(moved, shards).mapInArrow(by_word, table), "model")
+    pairs.drop()
+    free_shuffles(spark)
+    told = _sums(tables.df, 6)
+    wide = {w: r[0] for w, r in told.items() if w}
+    *of, pairs_n, types = told.get(0, [0] * 6)
     for n in wide.values():
         if n <= 4:
             of[n - 1] += 1
@@ -328,7 +351,7 @@ def fit(texts: DataFrame, scored_bytes: int = 0) -> Model:
     scalars = {"cut": d1, "pairs": max(1, pairs_n), "unseen": max(gamma1, 1e-9) / max(1, pairs_n) / (types + 1)}
     q = {w: (n - float(_cut(d1, np.array([n]))[0])) / scalars["pairs"] + scalars["unseen"] for w, n in wide.items()}
     numbers = {}
-    for h in heavy.view(np.int64).tolist():
+    for h in heavy.tolist():
         c, gamma = known[h]
         numbers[h] = (q.get(h, scalars["unseen"]), math.log(gamma / c))
     return Model(tables, shards, heavy, numbers, scalars)
@@ -338,14 +361,24 @@ def _kind(kind: int, blocks: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * blocks.num_rows, pa.int32()), *blocks.columns], names=["kind", *blocks.schema.names])
 
 
-def _word_table(rows):
-    """Words of a shard, contexts and x of their pairs, and where each word's begin: words, (v, x), at."""
-    parts = [_unpack(r["block"], r["n"], U, U, np.float32) for r in rows]
-    w, v, x = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.float32))
-    order = np.lexsort((v, w))
-    w, v, x = w[order], v[order], x[order]
-    words, at = _runs(w)
-    return words, (v, x), at, w
+def _told(blocks: pa.RecordBatch, told: list) -> pa.RecordBatch:
+    """With what is told on the first row, or on one without a block."""
+    if not blocks.num_rows and told:
+        blocks = pa.RecordBatch.from_arrays([pa.array([0], f.type) if pa.types.is_integer(f.type) else pa.array([b""], f.type) for f in blocks.schema], schema=blocks.schema)
+    column = pa.array([told, *[[]] * (blocks.num_rows - 1)] if blocks.num_rows else [], pa.list_(pa.list_(pa.int64())))
+    return pa.RecordBatch.from_arrays([*blocks.columns, column], names=[*blocks.schema.names, "told"])
+
+
+def _sums(tables: DataFrame, width: int) -> dict[int, list[int]]:
+    """What the shards have told, added up by the first number; HEAVY + 1 rows are collected at most."""
+    t = F.col("t")
+    rows = tables.select(F.explode("told").alias("t")).select(F.get(t, 0).alias("k"), *[F.coalesce(F.get(t, i), F.lit(0).cast("long")).alias(f"c{i}") for i in range(1, width + 1)])
+    return {r["k"]: list(r[1:]) for r in rows.groupBy("k").agg(*[F.sum(f"c{i}") for i in range(1, width + 1)]).collect()}
+
+
+def _columns(widths: tuple, rows: list[dict]) -> list[np.ndarray]:
+    parts = [_unpack(widths, r["block"], r["n"]) for r in rows if r["n"]]
+    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, U) for _ in widths]
 
 
 def log_probabilities(texts: DataFrame, model: Model) -> DataFrame:
@@ -358,8 +391,8 @@ def log_probabilities(texts: DataFrame, model: Model) -> DataFrame:
             uid = np.concatenate([b.column(b.schema.get_field_index("uid")).to_numpy() for b in rows])
             order = np.lexsort((context, word))
             w, v, t = word[order], context[order], text[order]
-            blocks = _kind(2, _blocks(_shard_of(w, v, shards, heavy), w, v, t))
-            ids = pa.array([_pack(uid)] * blocks.num_rows, pa.binary())
+            blocks = _kind(2, _blocks(ASKED, _shard_of(w, v, shards, heavy), w, v & _LOW_CONTEXT, t))
+            ids = pa.array([_pack((8,), uid.view(U))] * blocks.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([*blocks.columns, ids, pa.array([len(uid)] * blocks.num_rows, pa.int64())], names=[*blocks.schema.names, "ids", "texts"])
 
     def answer(batches):
@@ -371,14 +404,14 @@ def log_probabilities(texts: DataFrame, model: Model) -> DataFrame:
                     continue
                 if held is not None:
                     shard, held = Shard(shared, held), None
-                w, v, t = _unpack(r["block"], r["n"], U, U, np.int32)
-                (uid,) = _unpack(r["ids"], r["texts"], np.int64)
+                w, v, t = _unpack(ASKED, r["block"], r["n"])
+                t, uid = t.astype(np.int64), _unpack((8,), r["ids"], r["texts"])[0].view(np.int64)
                 total, words, marks = (np.bincount(t, x, len(uid)) for x in (shard.log_p(w, v), None, w == U(MARK)))
                 some = np.flatnonzero(words)
                 yield pa.RecordBatch.from_arrays([pa.array(uid[some]), pa.array(total[some]), pa.array(words[some].astype(np.int64)), pa.array(marks[some].astype(np.int64))], names=["uid", "total", "words", "marks"])
 
     asked = texts.select("uid", "text").mapInArrow(ask, f"kind int, {_BLOCK}, ids binary, texts long")
-    both = tables.df.withColumns({"ids": F.lit(None).cast("binary"), "texts": F.lit(0).cast("long")}).unionByName(asked)
+    both = tables.df.drop("told").where("n > 0").withColumns({"ids": F.lit(None).cast("binary"), "texts": F.lit(0).cast("long")}).unionByName(asked)
     got = _by_shard(both, shards, "kind").mapInArrow(answer, "uid long, total double, words long, marks long")
     return got.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("total", "words", "marks")])
 
