@@ -97,6 +97,8 @@ def _from_real(x: np.ndarray) -> np.ndarray:
 _LOW_CONTEXT = U((1 << (8 * CONTEXT)) - 1)
 #: Columns of blocks: pairs by context (v, w, n); pairs by word (w, v, x); weights (v, weight); questions (w, v, text).
 BY_CONTEXT, BY_WORD, WEIGHTS, ASKED = (WORD, WORD, COUNT), (WORD, CONTEXT, REAL), (WORD, 4), (WORD, CONTEXT, TEXT)
+#: Of a block's texts: uid, words.
+TEXTS = (8, 4)
 
 
 def _among(word: np.ndarray, heavy: np.ndarray) -> np.ndarray:
@@ -392,7 +394,7 @@ def log_probabilities(texts: DataFrame, model: Model) -> DataFrame:
             order = np.lexsort((context, word))
             w, v, t = word[order], context[order], text[order]
             blocks = _kind(2, _blocks(ASKED, _shard_of(w, v, shards, heavy), w, v & _LOW_CONTEXT, t))
-            ids = pa.array([_pack((8,), uid.view(U))] * blocks.num_rows, pa.binary())
+            ids = pa.array([_pack(TEXTS, uid.view(U), np.bincount(text, minlength=len(uid)))] * blocks.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([*blocks.columns, ids, pa.array([len(uid)] * blocks.num_rows, pa.int64())], names=[*blocks.schema.names, "ids", "texts"])
 
     def answer(batches):
@@ -405,14 +407,22 @@ def log_probabilities(texts: DataFrame, model: Model) -> DataFrame:
                 if held is not None:
                     shard, held = Shard(shared, held), None
                 w, v, t = _unpack(ASKED, r["block"], r["n"])
-                t, uid = t.astype(np.int64), _unpack((8,), r["ids"], r["texts"])[0].view(np.int64)
-                total, words, marks = (np.bincount(t, x, len(uid)) for x in (shard.log_p(w, v), None, w == U(MARK)))
-                some = np.flatnonzero(words)
-                yield pa.RecordBatch.from_arrays([pa.array(uid[some]), pa.array(total[some]), pa.array(words[some].astype(np.int64)), pa.array(marks[some].astype(np.int64))], names=["uid", "total", "words", "marks"])
+                total = np.bincount(t.astype(np.int64), shard.log_p(w, v), r["texts"]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([r["ids"]], pa.binary()), pa.array([r["texts"]], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["ids", "texts", "total"])
+
+    def add(batches):
+        """The answers of all shards to a block."""
+        for ids, rows in groupby(_rows(batches), lambda r: r["ids"]):
+            total, n = 0.0, 0
+            for r in rows:
+                total, n = total + np.frombuffer(r["total"], np.float32).astype(float), r["texts"]
+            uid, words = _unpack(TEXTS, ids, n)
+            yield pa.RecordBatch.from_arrays([pa.array(uid.view(np.int64)), pa.array(total), pa.array(words.astype(np.int64)), pa.array([1] * n, pa.int64())], names=["uid", "total", "words", "marks"])
 
     asked = texts.select("uid", "text").mapInArrow(ask, f"kind int, {_BLOCK}, ids binary, texts long")
     both = tables.df.drop("told").where("n > 0").withColumns({"ids": F.lit(None).cast("binary"), "texts": F.lit(0).cast("long")}).unionByName(asked)
-    got = _by_shard(both, shards, "kind").mapInArrow(answer, "uid long, total double, words long, marks long")
+    got = _by_shard(both, shards, "kind").mapInArrow(answer, "ids binary, texts long, total binary")
+    got = got.repartition(shards, "ids").sortWithinPartitions("ids").mapInArrow(add, "uid long, total double, words long, marks long")
     return got.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("total", "words", "marks")])
 
 
