@@ -342,7 +342,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["key", "anchor", "least", "before", "after"])
 
-    held = keyed.select("key", "text").join(bounded(open_, 200_000, F.size("at") * 8 + 32), c("key") == c("okey")).select("key", "text", "at")
+    held = keyed.select("key", "text").join(bounded(open_, 20_000, F.size("at") * 8 + 32), c("key") == c("okey")).select("key", "text", "at")
     segment_table = Written(held.mapInArrow(cut, "key long, anchor long, least long, before binary, after binary"), "segments")
     segments = segment_table.df
     free_shuffles(spark)
