@@ -10,7 +10,8 @@ text's length.
 Each level is one partial-aggregated count by (group, digit), written as the
 table of groups, and one equi-join of the documents to it.  The count collapses
 a hot group to one row a task before it is shuffled; the join has no aggregate in
-its stage, so that the adaptive planner can split a hot group's documents.
+its stage, so that the adaptive planner can split a hot group's documents; it is a
+merge join at every size, as the table of groups grows with the documents.
 Digits grow by a factor, so a text of b bytes takes O(log b) levels; a document
 goes on only while another one shares all its bytes so far, and takes along only
 the bytes that are still to be compared.
@@ -56,7 +57,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     heads = _digits(docs.select(body.alias("rest")), FIRST_DIGIT).groupBy("digit", "ends").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = Written(heads.select(c("digit").alias("hd"), c("ends").alias("he"), F.monotonically_increasing_id().alias("g")), "radix-heads")
     first = base.withColumns({"digit": F.substring(rest, 1, FIRST_DIGIT), "ends": F.octet_length(rest) <= FIRST_DIGIT})
-    first = first.join(heads.df, (c("digit") == c("hd")) & (c("ends") == c("he")), "left")
+    first = first.join(heads.df.hint("merge"), (c("digit") == c("hd")) & (c("ends") == c("he")), "left")
     first = first.select(
         #: Written with its row: how files are split when they are read depends on the cores there are then.
         F.monotonically_increasing_id().alias("uid"),
@@ -78,7 +79,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         groups = active.groupBy("g", "digit", "ends").agg(top.alias("keep"), F.count(F.lit(1)).alias("size")).where("size > 1")
         groups = Written(groups.withColumnsRenamed({"g": "hg", "digit": "hd", "ends": "he"}), "radix-groups")
         same = (c("g") == c("hg")) & (c("digit") == c("hd")) & (c("ends") == c("he"))
-        several = active.join(groups.df, same).select(
+        several = active.join(groups.df.hint("merge"), same).select(
             "uid", "id", "keep", "size", "ends", F.when(~c("ends"), F.substring("rest", width + 1, 2**31 - 1)).alias("rest")
         )
         after = Written(several, "radix-level")
