@@ -55,7 +55,7 @@ QUANTILE, LEAST_TRUSTED = 0.99, 30
 HELD_OUT = 5
 #: Words that a block is made of; counted words, and bytes of scored text, for each shard.
 BLOCK_WORDS, SHARD_WORDS, SHARD_BYTES = 2_000_000, 1_000_000, 32 << 20
-PASSES = 4
+PASSES = 8
 #: A word is heavy if it is one word in so many or more.
 HEAVY = 256
 #: The mark that closes a text.
