@@ -215,11 +215,17 @@ def _common(a: np.ndarray, b: bytes, length: int) -> np.ndarray:
 
 
 def _splitters(segments: DataFrame, length: int) -> list[bytes]:
-    """Suffixes between ranges, in order; RANGES * RANGE_SAMPLE rows are collected at most."""
-    n = min(segments.count() // RANGE_ROWS, RANGES)
+    """Suffixes between ranges, in order.
+
+    Rows whose hash is under a share are collected, each task sending its own ones only:
+    about RANGES * RANGE_SAMPLE at most, as the hash is of keys that do not repeat.
+    """
+    count = segments.count()
+    n = min(count // RANGE_ROWS, RANGES)
     if n < 1:
         return []
-    rows = segments.select("after").orderBy(F.xxhash64("key", "anchor"), "after").limit((n + 1) * RANGE_SAMPLE).collect()
+    share = int(min(1.0, (n + 1) * RANGE_SAMPLE / count) * 2**62)
+    rows = segments.where(F.shiftrightunsigned(F.xxhash64("key", "anchor"), 2) < share).select("after").collect()
     return np.unique(_padded(sorted(bytes(r["after"]) for r in rows)[RANGE_SAMPLE::RANGE_SAMPLE], length)).tolist()
 
 

@@ -182,6 +182,14 @@ def test_substrings(spark, texts, monkeypatch, rows):
     assert sorted(r["n_removed"] for r in substrings.dedup_substrings(one_id).collect())[1] == 240
 
 
+def test_substrings_send_few_splitter_rows(spark):
+    segments = spark.range(400_000, numPartitions=40).selectExpr("id AS key", "0L AS anchor", "unhex(md5(string(id))) AS after")
+    marks = substrings._splitters(segments, 100)
+    assert marks == sorted(marks) and 35 <= len(marks) <= 65  # 50 ranges of 8000 rows
+    at = substrings.np.searchsorted(substrings.np.array(marks), [bytes(r["after"]).ljust(100, b"\0") for r in segments.collect()[:50_000]])
+    assert substrings.np.bincount(at).max() < 5 * 50_000 / 50
+
+
 def test_substrings_of_long_texts():
     r = random.Random(9)
     text = substrings.np.frombuffer(bytes(r.choice(b"abcdefgh \n") for _ in range(60_000)), substrings.np.uint8)
