@@ -12,58 +12,46 @@ from pyspark.sql import types as T
 from ..types import I64, normalised, wrapping_add, wrapping_sum, wrapping_sum_over
 
 
-#: Rows that splitters are taken from, for each partition.
+#: Rows that splitters are taken from, for each range.
 SPLIT_SAMPLE = 50
 
 
 def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Adds __range: rows dealt into ranges of the columns `order` by splitters from a sample.
 
-    The splitters are literals: a range that is computed anew, after an executor
-    is lost, has the same rows.
+    The sample is a share of the rows by a hash of their order, as large as the
+    ranges need and no larger with more rows.  The splitters are collected once
+    and are literals: a range that is computed anew, after an executor is lost,
+    has the same rows.
     """
     spark = df.sparkSession
     at = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(order)])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = df.select(at.alias("at")).orderBy(F.xxhash64("at"), "at").limit(parts * SPLIT_SAMPLE).orderBy("at").collect()
-    marks = list(dict.fromkeys(r["at"] for r in sample[SPLIT_SAMPLE::SPLIT_SAMPLE]))
-    if not marks:
-        return df.withColumn("__range", F.lit(0))
-    kinds = [f.dataType for f in df.select(at.alias("at")).schema[0].dataType]
-    return df.withColumn("__range", _search([_below([F.col(c) for c in order], m, kinds) for m in marks], 0, len(marks)))
-
-
-def _literal(value, kind: T.DataType) -> Column:
-    """Dates and times by their text, which no time zone changes."""
-    return F.lit(str(value) if isinstance(kind, T.TimestampNTZType | T.DateType) and value is not None else value).cast(kind)
-
-
-def _below(columns: list[Column], mark, kinds: list[T.DataType]) -> Column:
-    """Whether the columns come before the mark, in order; nulls first."""
-    out = F.lit(False)
-    for c, v, kind in reversed(list(zip(columns, mark, kinds, strict=True))):
-        v_ = _literal(v, kind)
-        less = F.lit(False) if v is None else c.isNull() | (c < v_)
-        out = less | (c.eqNullSafe(v_) & out)
+    share = max(1, df.count() // (parts * SPLIT_SAMPLE))
+    sample = df.select(at.alias("at")).where(F.pmod(F.xxhash64("at"), F.lit(share)) == 0)
+    every = F.greatest(F.ceil(F.size("m") / parts), F.lit(1)).cast("int")
+    marks = sample.agg(F.sort_array(F.collect_list("at")).alias("m")).select(F.filter("m", lambda _, i: (i > 0) & (i % every == 0)).alias("m"))
+    text = marks.select(F.to_json("m")).first()[0]
+    return _search(df, F.from_json(F.lit(text), marks.schema["m"].dataType), at, parts)
+
+
+def _search(df: DataFrame, marks: Column, at: Column, most: int) -> DataFrame:
+    """Adds __range, how many of the sorted marks do not come after the row, by halving: a column for each step.  Nulls come first."""
+    out, step = df.withColumn("__range", F.lit(0)), 1 << (most.bit_length() - 1)
+    while step:
+        out = out.withColumn("__range", F.col("__range") + F.when(F.get(marks, F.col("__range") + (step - 1)) <= at, step).otherwise(0))
+        step >>= 1
     return out
 
 
-def _search(below: list[Column], lo: int, hi: int) -> Column:
-    """How many marks do not come after the row: a binary search written out."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(below[mid], _search(below, lo, mid)).otherwise(_search(below, mid + 1, hi))
-
-
 def _before(ranged: DataFrame, total: Column) -> Column:
     """What the ranges before a row's own add up to, modulo 2 ** 64.  A row for each range is collected."""
     totals = {r["__range"]: r["t"] or 0 for r in ranged.groupBy("__range").agg(total.alias("t")).collect()}
     starts, before = [], 0
     for i in range(max(totals, default=0) + 1):
-        starts.append(F.lit(before).cast("bigint"))
+        starts.append(str(before))
         before = (before + totals.get(i, 0) + 2**63) % 2**64 - 2**63
-    return F.element_at(F.array(*starts), F.col("__range") + 1)
+    return F.element_at(F.split(F.lit(",".join(starts)), ",").cast("array<bigint>"), F.col("__range") + 1)
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:

@@ -159,6 +159,23 @@ def test_windows_without_partitions(spark):
     assert fn.running_all(df.where("false"), "v", "i", "t").collect() == []
 
 
+def test_numbers_by_any_type(spark):
+    from datetime import date, datetime, timedelta
+    from decimal import Decimal
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    def row(i):
+        real = [None, float("nan"), float("-inf"), i * 0.37 % 1][i % 4]
+        return i, [None, date(2000, 1, 1) + timedelta(i % 900)][i % 2], [None, 'a"\\é' + str(i % 50)][i % 3 > 0], real, datetime(2020, 1, 1, microsecond=i), Decimal(i % 300) / 100, bytes([i % 256]), i % 2 == 0
+
+    df = spark.createDataFrame([row(i) for i in range(1500)], "i bigint, d date, t string, f double, ts timestamp, dc decimal(10,2), b binary, o boolean").repartition(6)
+    for c in df.columns[1:]:
+        places = fn.numbered(df, [c, "i"], "n").withColumn("all", F.row_number().over(Window.orderBy(c, "i")))
+        assert places.where("n <> `all`").count() == 0, c
+
+
 SCENARIOS = {
     "many copies": ([i % 97 for i in range(900)], [i % 53 for i in range(400)]),
     "scattered": ([(i * 2654435761) % 2**32 for i in range(500)], [(i * 2654435761) % 2**32 for i in range(0, 500, 3)]),
