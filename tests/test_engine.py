@@ -277,3 +277,23 @@ def test_copies(spark, tmp_path):
         assert sorted(map(tuple, copy_from(spark, str(tmp_path / kind), kind, "i bigint, s string").collect())) == sorted(map(tuple, rows.collect()))
     with pytest.raises(EngineError):
         copy_to(rows, str(tmp_path / "x"), "orc")
+
+
+def test_tools(spark, tmp_path, capsys):
+    from emberframe.tools import main
+
+    few = ["--runs", "1", "--rows", "500"]
+    flat, source = str(tmp_path / "flat"), tmp_path / "numbers.csv"
+    main(["gen", "--rows", "500", "--out", flat])
+    assert read_flat(spark, flat).count() == 500
+    source.write_text("1\n\n-2\n")
+    main(["convert", "--source", str(source), "--out", str(tmp_path / "from_csv")])
+    assert sorted(r[0] for r in read_flat(spark, str(tmp_path / "from_csv")).collect()) == [-2, 1]
+    main(["reduce", *few, "--input", flat, "--op", "all"])
+    main(["reduce", *few, "--dtype", "F64", "--op", "all", "--mode", "hot"])
+    main(["groupby", *few, "--groups", "7"])
+    main(["window", *few])
+    main(["join", "--runs", "1", "--build", "50", "--probe", "400", "--skew", "2"])
+    lines = [x.split("\t") for x in capsys.readouterr().out.splitlines()]
+    assert [x[0] for x in lines] == ["reduce"] * 3 + ["groupby"] + ["window"] * 2 + ["join"] * 4
+    assert all(float(x[-1]) > 0 for x in lines)
