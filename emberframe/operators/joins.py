@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 
 from ..plans.decisions import Reason, choose_join
 from ..types import F64, I64, EngineError, wrapping_sum
-from .store import Store
+from .store import ResidentColumn, Store
 
 JOIN_KINDS = ("inner", "left", "semi", "anti", "right", "full")
 ROW_CAP = 100_000_000
+_HINTS = {Reason.BROADCAST_BUILD: "broadcast", Reason.SORTED_BUILD: "merge", Reason.SHUFFLE_HASH: "shuffle_hash"}
+#: Rows of a key, of each side, that meet in one cell of a large row join; a cell is in one task.
+CELL = 3000
+#: Partitions of a large row join at most.
+MOST_PARTITIONS = 10_000
 
 
 def _times(kind: str) -> Column:
@@ -32,7 +37,7 @@ def multiplied(probe: DataFrame, build: DataFrame, kind: str, strategy: Reason =
     """probe (key, ...) with `times`; build is (key, m)."""
     if kind not in JOIN_KINDS:
         raise EngineError(f"unknown kind of join {kind!r}; one of {', '.join(JOIN_KINDS)}")
-    hint = {Reason.BROADCAST_BUILD: "broadcast", Reason.SORTED_BUILD: "merge", Reason.SHUFFLE_HASH: "shuffle_hash"}.get(strategy)
+    hint = _HINTS.get(strategy)
     side = build.hint(hint) if hint else build
     how = "inner" if kind in ("inner", "right", "semi") else "left"
     return probe.join(side, "key", how).withColumn("times", _times(kind)).where("times > 0")
@@ -94,8 +99,33 @@ def join_count(store: Store, kind: str, probe_key: str | None, build_key: str |
     return None if row is None else row["matched"]
 
 
-def join_rows(store: Store, probe: str, build: str, kind: str, cap: int = ROW_CAP) -> DataFrame:
-    """probe_idx, build_idx: places in upload order.  Semi and anti have no build_idx.  Over the cap: an error that says how many."""
+def _in_cells(p: ResidentColumn, b: ResidentColumn, kind: str, rows: int, cell: int) -> DataFrame:
+    """probe_idx, build_idx of an inner join with many rows.
+
+    The pairs of a key are a grid: its probe rows are dealt into bands and its
+    build rows into columns of about `cell` rows each, and a row is copied to
+    every cell that it crosses.  So no task makes all pairs of a key, and some
+    2 * rows / cell rows are copied, however skewed the keys are.
+    """
+    counts = p.counts().withColumnRenamed("m", "pm").join(b.counts().withColumnRenamed("m", "bm"), "key", "full")
+    cuts = [F.greatest(F.ceil(F.col(m) / cell), F.lit(1)).alias(name) for m, name in (("pm", "bands"), ("bm", "columns"))]
+    large = counts.where(F.greatest("pm", "bm") > cell).select("key", *cuts)  # so many at most: both sides' rows / cell
+    large = large.hint(_HINTS[choose_join((p.rows + b.rows) // cell)])
+    bands, columns = (F.coalesce(c, F.lit(1)).cast("int") for c in ("bands", "columns"))
+
+    def dealt(side: ResidentColumn, name: str, own: Column, other: Column, at: list[str]) -> DataFrame:
+        cells = [F.pmod(F.xxhash64("idx"), own).cast("int").alias(at[0]), F.explode(F.sequence(F.lit(0), other - 1)).alias(at[1])]
+        return side.select("key", "idx").join(large, "key", "left").select("key", F.col("idx").alias(name), *cells)
+
+    at = ["key", "band", "column"]
+    parts = max(int(p.frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(rows // cell**2 + 1, MOST_PARTITIONS))
+    left = dealt(p, "probe_idx", bands, columns, at[1:]).repartition(parts, *at)
+    right = dealt(b, "build_idx", columns, bands, at[:0:-1]).repartition(parts, *at)
+    return left.join(right.hint("merge"), at, kind).select("probe_idx", "build_idx")
+
+
+def join_rows(store: Store, probe: str, build: str, kind: str, cap: int | None = None, cell: int = CELL) -> DataFrame:
+    """probe_idx, build_idx: places in upload order.  Semi and anti have no build_idx.  All rows, however many; over a cap that is given: an error that says how many."""
     kind = kind.lower()
     if kind not in JOIN_KINDS[:4]:
         raise EngineError(f"unknown kind of join {kind!r}; one of inner, left, semi, anti")
@@ -104,8 +134,10 @@ def join_rows(store: Store, probe: str, build: str, kind: str, cap: int = ROW_CA
         if not c.indexed:
             raise EngineError(f"{c.name!r} was uploaded without an order")
     n = join_count(store, kind, probe, build)
-    if n > cap:
+    if cap is not None and n > cap:
         raise EngineError(f"the join has {n} rows, over the cap of {cap}")
+    if kind == "inner" and n > cell**2:
+        return _in_cells(p, b, kind, n, cell)
     left = p.select("key", F.col("idx").alias("probe_idx"))
     right = b.select("key", F.col("idx").alias("build_idx"))
     how = {"inner": "inner", "left": "left", "semi": "left_semi", "anti": "left_anti"}[kind]

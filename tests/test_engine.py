@@ -297,3 +297,39 @@ def test_tools(spark, tmp_path, capsys):
     lines = [x.split("\t") for x in capsys.readouterr().out.splitlines()]
     assert [x[0] for x in lines] == ["reduce"] * 3 + ["groupby"] + ["window"] * 2 + ["join"] * 4
     assert all(float(x[-1]) > 0 for x in lines)
+
+
+def _row_sides(spark, probe, build):
+    """A store with the keys of the two lists as p and b, in the lists' order."""
+    store = Store(spark)
+    for name, keys in (("p", probe), ("b", build)):
+        store.upload(name, spark.createDataFrame(list(enumerate(keys)), "i bigint, k bigint"), "k", order_by="i")
+    return store
+
+
+def _one_key(spark, probe, build):
+    """A store with so many rows of one key on each side."""
+    store = Store(spark)
+    for name, rows in (("p", probe), ("b", build)):
+        store.upload(name, spark.range(rows).selectExpr("7 AS k", "id"), "k", order_by="id")
+    return store
+
+
+def _row_sums(rows):
+    return tuple(rows.selectExpr("count(*)", "sum(probe_idx)", "sum(build_idx)").first())
+
+
+#: Keys with many rows on both sides, on one, or without a match on the other.
+ROW_PROBE, ROW_BUILD = [1] * 9 + [2, 3, 3, 4] + [5] * 8 + [-6] + [8] * 2, [1] * 7 + [2] * 10 + [3, 8] + [9] * 11 + [-6]
+
+
+def test_inner_row_join_is_whole_at_every_size(spark):
+    from pyspark.sql import functions as F
+
+    rows = join_rows(_one_key(spark, 10_001, 10_000), "p", "b", "inner")
+    assert _row_sums(rows) == (100_010_000, 10_000 * sum(range(10_001)), 10_001 * sum(range(10_000)))
+    most = max(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect())
+    assert most < 50_000_000  # no task makes all pairs of the key
+    want = sorted((i, j) for i, x in enumerate(ROW_PROBE) for j, y in enumerate(ROW_BUILD) if x == y)
+    for cell in (1, 2, 3, 100):
+        assert sorted(map(tuple, join_rows(_row_sides(spark, ROW_PROBE, ROW_BUILD), "p", "b", "inner", cell=cell).collect())) == want
