@@ -100,12 +100,14 @@ def join_count(store: Store, kind: str, probe_key: str | None, build_key: str |
 
 
 def _in_cells(p: ResidentColumn, b: ResidentColumn, kind: str, rows: int, cell: int) -> DataFrame:
-    """probe_idx, build_idx of an inner join with many rows.
+    """probe_idx, build_idx of an inner or left join with many rows.
 
     The pairs of a key are a grid: its probe rows are dealt into bands and its
     build rows into columns of about `cell` rows each, and a row is copied to
     every cell that it crosses.  So no task makes all pairs of a key, and some
-    2 * rows / cell rows are copied, however skewed the keys are.
+    2 * rows / cell rows are copied, however skewed the keys are.  A left join
+    keeps a probe row without a pair only where its key has one column, as a
+    cell of more could be empty.
     """
     counts = p.counts().withColumnRenamed("m", "pm").join(b.counts().withColumnRenamed("m", "bm"), "key", "full")
     cuts = [F.greatest(F.ceil(F.col(m) / cell), F.lit(1)).alias(name) for m, name in (("pm", "bands"), ("bm", "columns"))]
@@ -113,15 +115,15 @@ def _in_cells(p: ResidentColumn, b: ResidentColumn, kind: str, rows: int, cell:
     large = large.hint(_HINTS[choose_join((p.rows + b.rows) // cell)])
     bands, columns = (F.coalesce(c, F.lit(1)).cast("int") for c in ("bands", "columns"))
 
-    def dealt(side: ResidentColumn, name: str, own: Column, other: Column, at: list[str]) -> DataFrame:
+    def dealt(side: ResidentColumn, name: str, own: Column, other: Column, at: list[str], *more: Column) -> DataFrame:
         cells = [F.pmod(F.xxhash64("idx"), own).cast("int").alias(at[0]), F.explode(F.sequence(F.lit(0), other - 1)).alias(at[1])]
-        return side.select("key", "idx").join(large, "key", "left").select("key", F.col("idx").alias(name), *cells)
+        return side.select("key", "idx").join(large, "key", "left").select("key", F.col("idx").alias(name), *cells, *more)
 
     at = ["key", "band", "column"]
     parts = max(int(p.frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(rows // cell**2 + 1, MOST_PARTITIONS))
-    left = dealt(p, "probe_idx", bands, columns, at[1:]).repartition(parts, *at)
+    left = dealt(p, "probe_idx", bands, columns, at[1:], (columns == 1).alias("whole")).repartition(parts, *at)
     right = dealt(b, "build_idx", columns, bands, at[:0:-1]).repartition(parts, *at)
-    return left.join(right.hint("merge"), at, kind).select("probe_idx", "build_idx")
+    return left.join(right.hint("merge"), at, kind).where("whole OR build_idx IS NOT NULL").select("probe_idx", "build_idx")
 
 
 def join_rows(store: Store, probe: str, build: str, kind: str, cap: int | None = None, cell: int = CELL) -> DataFrame:
@@ -136,7 +138,7 @@ def join_rows(store: Store, probe: str, build: str, kind: str, cap: int | None =
     n = join_count(store, kind, probe, build)
     if cap is not None and n > cap:
         raise EngineError(f"the join has {n} rows, over the cap of {cap}")
-    if kind == "inner" and n > cell**2:
+    if kind in ("inner", "left") and n > cell**2:
         return _in_cells(p, b, kind, n, cell)
     left = p.select("key", F.col("idx").alias("probe_idx"))
     right = b.select("key", F.col("idx").alias("build_idx"))
