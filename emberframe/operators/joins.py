@@ -17,7 +17,6 @@ from ..types import F64, I64, EngineError, wrapping_sum
 from .store import ResidentColumn, Store
 
 JOIN_KINDS = ("inner", "left", "semi", "anti", "right", "full")
-ROW_CAP = 100_000_000
 _HINTS = {Reason.BROADCAST_BUILD: "broadcast", Reason.SORTED_BUILD: "merge", Reason.SHUFFLE_HASH: "shuffle_hash"}
 #: Rows of a key, of each side, that meet in one cell of a large row join; a cell is in one task.
 CELL = 3000

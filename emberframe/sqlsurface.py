@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.joins import ROW_CAP, join_rows
+from .operators.joins import join_rows
 from .operators.store import Store
 from .plans.decisions import Reason
 from .types import I64, EngineError, wrapping_sum_sql
@@ -33,7 +33,7 @@ _KINDS = {
 
 
 class SqlSurface:
-    def __init__(self, store: Store, row_cap: int = ROW_CAP):
+    def __init__(self, store: Store, row_cap: int | None = None):
         self.store, self.spark, self.row_cap = store, store.spark, row_cap
         self.refresh()
         self._functions()
@@ -115,7 +115,7 @@ class SqlSurface:
         return self.spark.sql(rewrite(self._resident(s)))
 
     def _resident(self, sql: str) -> str:
-        """Row joins become views of the engine's own, with its cap and its errors; statistics are those of the last statement."""
+        """Row joins become views of the engine's own, with the cap if there is one and its errors; statistics are those of the last statement."""
         while m := _ROWS.search(sql):
             p, b, kind = (x.replace("''", "'") for x in m.groups())
             view = f"resident_rows_{uuid.uuid4().hex}"

@@ -348,3 +348,9 @@ def test_left_row_join_is_whole_at_every_size(spark):
     for cell in (1, 3):
         got = list(map(tuple, join_rows(store, "p", "b", "left", cell=cell).collect()))
         assert len(got) == len(want) and set(got) == want
+
+
+def test_sql_inner_row_join_is_whole_at_every_size(spark):
+    sql = SqlSurface(_one_key(spark, 10_001, 10_000))
+    sums, most = _row_sums(sql.run("SELECT probe_idx, build_idx FROM hot_join_rows_resident('p', 'b', 'Inner')"))
+    assert sums == (100_010_000, 10_000 * sum(range(10_001)), 10_001 * sum(range(10_000)), 0) and most < 50_000_000
