@@ -354,3 +354,10 @@ def test_sql_inner_row_join_is_whole_at_every_size(spark):
     sql = SqlSurface(_one_key(spark, 10_001, 10_000))
     sums, most = _row_sums(sql.run("SELECT probe_idx, build_idx FROM hot_join_rows_resident('p', 'b', 'Inner')"))
     assert sums == (100_010_000, 10_000 * sum(range(10_001)), 10_001 * sum(range(10_000)), 0) and most < 50_000_000
+
+
+def test_sql_left_row_join_is_whole_at_every_size(spark):
+    sql = SqlSurface(_one_key(spark, 10_001, 10_000))
+    assert sql.run("UPLOAD p AS SELECT if(id < 10001, 7, 8), id FROM range(10003)").first()[0] == 10_003
+    sums, most = _row_sums(sql.run("SELECT probe_idx, build_idx FROM hot_join_rows_resident('p', 'b', 'Left')"))
+    assert sums == (100_010_002, 10_000 * sum(range(10_001)) + 10_001 + 10_002, 10_001 * sum(range(10_000)), 2) and most < 50_000_000
