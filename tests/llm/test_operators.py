@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and repeated rows, clashing columns, and against brute force."""
 
 import hashlib
+import json
 import random
 import re
 
@@ -128,6 +129,32 @@ def test_bpe_rows(spark):
     assert bpe.round_trip(rows.where("false")).count() == 0
 
 
+def test_bpe_new_pieces_go_together(monkeypatch):
+    """Pieces that no text had before, of many texts, in a few steps and not one by one; with tables that overflow, and long pieces."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(8)
+    sounds = ["th", "er", "ción", "sch", "é", "ä", "que", "ou", "ing", "zz", "日", "本", "\u0301", "ß", "1", "٣", "\u00a0", "🙂"]
+    ends = ["", "", ",", ".", "'s", "'", "&&&", ".\nThe", "\n", "!?\n\n", "\t", "_", "-x"]
+    words = ["".join(r.choice(sounds) for _ in range(r.randint(0, 7))) + r.choice(ends) for _ in range(4000)]
+    texts = [" ".join(words[i : i + 40]) for i in range(0, 4000, 40)]
+    texts += ["a" * n + " " + "ab" * n + " " + "é" * n + " " + " " * n + "\n" * n for n in range(1, 140, 3)]
+    texts += ["", " ", "  ", "\n \n x", "x \ny", "x<|endoftext|> y<|endoftext|>", "don't 'll 've", " lead", "trail ", "\r\n \r\n"]
+    bpe_ = bpe.PrefixBpe(json.loads(open(bpe.default_vocabulary(), encoding="utf-8").read()))
+    alone, one = [], bpe_.encode_piece
+    monkeypatch.setattr(bpe_, "encode_piece", lambda piece: (alone.append(piece), one(piece))[1])
+    want = [e.ids for e in Tokenizer.from_file(bpe.default_vocabulary()).encode_batch(texts, add_special_tokens=False)]
+    assert [list(memoryview(x).cast("I")) for x in bpe_.encode_many(texts)] == want
+    assert all(len(x) > bpe.STEP_BYTES for x in alone) and alone
+    for name, value in (("CACHE_PIECES", 5), ("CACHE_CHARS", 3), ("CACHE_PAIRS", 7), ("STEP_PIECES", 11), ("STEP_BYTES", 9), ("PAIR_BITS", 4)):
+        monkeypatch.setattr(bpe, name, value)
+    bpe_.forget()
+    assert [bpe_.encode(t) for t in texts] == want
+    bpe_.forget()
+    monkeypatch.setattr(bpe_, "alpha", lambda _: False)  # where Python's letters are others
+    assert [bpe_.encode(t) for t in texts] == want
+
+
 def shingles(t, k=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()}
